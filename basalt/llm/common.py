@@ -60,6 +60,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def remainder(key: Column, parts: int) -> Column:
+    """crc32 of the key as text, modulo ``parts``; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
+
+
+#: Characters a text may have to be learnt from; with the sample's limit it bounds what the driver holds.
+LEARN_CHARS = 20_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> list[tuple[int, str, int]]:
+    """At most ``limit`` labelled rows as (fold, text, label), the same ones every time: those of smallest key hash.
+
+    ``learn`` says of ``doc_id`` which rows may be learnt from.  The fold is 1 for a quarter of the rows, else 0.  A
+    document labelled twice counts with its larger label, one that stands twice with its smaller text.  Null labels,
+    null texts and texts beyond ``LEARN_CHARS`` are passed over.
+    """
+    chosen = labels.where(F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("label"))
+    chosen = chosen.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(label))).orderBy("h", "doc_id").limit(limit)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= LEARN_CHARS)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("h").alias("h")).orderBy("h")
+    return [(int(r.h >> 20 & 3 == 3), r.text, int(r.label > 0)) for r in rows.toLocalIterator()]
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """``wanted`` names, each with underscores added until it clashes (ignoring case) with none of ``columns``."""
     taken, out = {c.lower() for c in columns}, []

@@ -11,6 +11,8 @@ from basalt.llm.hilbert import hilbert_shards
 from basalt.llm.license_scan import license_digest
 from basalt.llm.mixing import mix_sources
 from basalt.llm.pii import pii_digest
+from basalt.llm.quality import quality_digest
+from basalt.llm.toxicity import toxicity_digest
 
 #: The metadata dimensions shards are compact in, and their number.
 SHARD_DIMS, SHARDS = ["source", "lang", "n_chars"], 40
@@ -20,6 +22,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), SHARDS, SHARD_DIMS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
@@ -28,11 +34,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op6_license_scan, op7_pii, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op5_toxicity, op6_license_scan, op7_pii, op8_quality, op9_mixing)}
 
 #: No query here has an oracle: each rests on Spark's own hash or sketch, on several patterns with offsets, or on a
 #: model.  The tests hold them against brute force instead.

@@ -24,6 +24,9 @@ LOWER[65:91] += 32
 #: The word separators: space and the five control characters from tab to carriage return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+MARKS = np.arange(256) < 128
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,11 +78,17 @@ class _Powers:
         return cls.up, cls.down
 
 
-def _hash_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def located_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words, their first bytes and ends in ``data``, and how many words each text has.
+
+    With ``prefixes`` the hashes are a table: the word's, then those of its first so many bytes (the whole word's, if
+    it is shorter).
+    """
     n = len(data)
     if n == 0:
-        return np.zeros(0, _U), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~SPACE[data]
+        none = np.zeros(0, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), none, none, np.zeros(len(offsets) - 1, np.int64)
+    inside = ~separators[data]
     cut = np.zeros(n + 1, bool)  # a text begins (or the block ends) here
     cut[offsets] = True
     starts = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])))
@@ -89,8 +98,10 @@ def _hash_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total[0] = 0
     np.cumsum((LOWER[data].astype(_U) + _U(1)) * up[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return h, counts
+    if prefixes:
+        cuts = [np.minimum(starts + k, ends) for k in prefixes]
+        h = np.stack([h, *[mix((total[e] - total[starts]) * down[starts] + _U(1000 + k)) for e, k in zip(cuts, prefixes)]], 1)
+    return h, starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +116,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             while end < len(data) and not SPACE[data[end]]:
                 step = SPACE[data[end : end + BLOCK]]
                 end += int(step.argmax()) if step.any() else len(step)
-            parts.append(_hash_block(data[at:end], np.array([0, end - at]))[0])
+            parts.append(located_words(data[at:end], np.array([0, end - at]))[0])
             at = end
         h = np.concatenate(parts)
         return h, np.array([len(h)])
-    return _hash_block(data, offsets)
+    h, _, _, counts = located_words(data, offsets)
+    return h, counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +133,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -
     if n == 0:
         return np.zeros(0, _U), out_counts
     acc = np.zeros(n, _U)
-    for j in range(size):
+    for j in range(min(size, n)):
         acc[: n - j] += words[j:] * scale[j]
     keep = np.zeros(n, bool)
     long = np.flatnonzero(counts >= size)
@@ -132,7 +144,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -
     short = np.flatnonzero((counts > 0) & (counts < size))
     for i in short:
         a, b = first[i], first[i + 1]
-        acc[a] = _U(int(b - a)) + sum((words[a + j] * scale[j] for j in range(b - a)), _U(0))
+        acc[a] = (int(b - a) + sum(int(words[a + j]) * int(scale[j]) for j in range(b - a))) % (1 << 64)
         keep[a] = True
     return mix(acc[keep]), out_counts
 
