@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basalt.llm.common import table
 from basalt.llm.hilbert import hilbert_shards
 from basalt.llm.license_scan import license_digest
+from basalt.llm.minhash import near_duplicates
 from basalt.llm.mixing import mix_sources
 from basalt.llm.pii import pii_digest
 from basalt.llm.quality import quality_digest
@@ -18,6 +19,10 @@ from basalt.llm.toxicity import toxicity_digest
 SHARD_DIMS, SHARDS = ["source", "lang", "n_chars"], 40
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), SHARDS, SHARD_DIMS)
 
@@ -42,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op5_toxicity, op6_license_scan, op7_pii, op8_quality, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash, op3_hilbert_shards, op5_toxicity, op6_license_scan, op7_pii, op8_quality, op9_mixing)}
 
 #: No query here has an oracle: each rests on Spark's own hash or sketch, on several patterns with offsets, or on a
 #: model.  The tests hold them against brute force instead.
