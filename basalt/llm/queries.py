@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from basalt.llm.ann import nearest
 from basalt.llm.common import table
+from basalt.llm.decontaminate import find_contamination
 from basalt.llm.hilbert import hilbert_shards
 from basalt.llm.license_scan import license_digest
+from basalt.llm.line_dedup import line_digest
 from basalt.llm.minhash import near_duplicates
 from basalt.llm.mixing import mix_sources
 from basalt.llm.pii import pii_digest
@@ -19,6 +23,10 @@ from basalt.llm.toxicity import toxicity_digest
 SHARD_DIMS, SHARDS = ["source", "lang", "n_chars"], 40
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
@@ -27,6 +35,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), SHARDS, SHARD_DIMS)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +59,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash, op3_hilbert_shards, op5_toxicity, op6_license_scan, op7_pii, op8_quality, op9_mixing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index_hashing, op2_minhash, op3_hilbert_shards, op4_decontamination, op5_toxicity, op6_license_scan, op7_pii, op8_quality, op9_mixing, op10_line_dedup)}
 
 #: No query here has an oracle: each rests on Spark's own hash or sketch, on several patterns with offsets, or on a
 #: model.  The tests hold them against brute force instead.
