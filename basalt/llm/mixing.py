@@ -49,16 +49,10 @@ def doc_hash(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit("mix")), 4)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Decide how many words of each document a mix takes.
-
-    Returns one row per row of ``docs``: ``doc_id, size, source_size, target, taken``.  ``taken`` is ``repeats * size``:
-    ``floor(target / source_size)`` whole passes over the source and one more pass over the documents below its
-    threshold.  A source's total misses its target by at most half of its boundary document.
+def mixing_plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, int]:
+    """What decides a mix: the sized documents, and per source ``source_size, target, passes, lo`` (with their number).
 
-    Null text counts as empty and a null source as a source of its own, the last.  Rows with an equal key (or a null
-    one) hash alike and are taken together.  Empty input gives an empty result; a source without words has target 0.
-    Extra columns are ignored.  The same rows always give the same mix, on any number of executors.
+    A document is read ``passes`` times, and once more if its hash is below ``lo``.
     """
     sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), doc_hash(F.col(key)).alias("h")))
     sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
@@ -73,11 +67,26 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         if state.where(~F.col("done")).isEmpty():
             break
     plan = sources.alias("s").join(state.select("source", "passes", "lo").alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "passes", "lo")
+    plan = materialize(plan)
+    discard(*old, sources)
+    return sized, plan, n_sources
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Decide how many words of each document a mix takes.
+
+    Returns one row per row of ``docs``: ``doc_id, size, source_size, target, taken``.  ``taken`` is ``repeats * size``:
+    ``floor(target / source_size)`` whole passes over the source and one more pass over the documents below its
+    threshold.  A source's total misses its target by at most half of its boundary document.
+
+    Null text counts as empty and a null source as a source of its own, the last.  Rows with an equal key (or a null
+    one) hash alike and are taken together.  Empty input gives an empty result; a source without words has target 0.
+    Extra columns are ignored.  The same rows always give the same mix, on any number of executors.
+    """
+    sized, plan, n_sources = mixing_plan(docs, weights, share, most, key, text, source)
     d, p = sized.alias("d"), _join_side(plan, n_sources).alias("p")
     taken = F.col("size") * (F.col("passes") + (F.col("h") < F.col("lo")).cast("long"))
-    out = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
-    discard(*old[:-1])
-    return out
+    return d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def _join_side(df: DataFrame, n_sources: int) -> DataFrame:
@@ -107,15 +116,15 @@ def _refine(sized: DataFrame, state: DataFrame, level: int, n_sources: int) -> D
     return joined.select("s.source", "passes", lo.alias("lo"), F.when(open_ & F.col("c.c").isNotNull(), rest).otherwise(F.col("need")).alias("need"), done.alias("done"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix reads it, all columns as they are.
 
-    A row whose document is above its source's threshold is left out; one that is read twice stands twice.  Documents
-    without words are never read (they add nothing to a budget) and are left out.
+    A row whose document is above its source's threshold is left out; one that is read twice stands twice.  Rows of a
+    source without any word are left out.  The rows only pass a filter on their own hash: nothing is shuffled.
     """
-    key = options.get("key", "doc_id")
-    name, times = fresh(docs.columns, "_mix_key", "_mix_times")
-    mix = mix_sources(docs, **options).where("taken > 0")
-    chosen = mix.groupBy(F.col("doc_id").alias(name)).agg((F.max("taken") / F.max("size")).cast("int").alias(times))
-    read = docs.join(chosen, docs[key].eqNullSafe(F.col(name)))
-    return read.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
+    _, plan, n_sources = mixing_plan(docs, weights, share, most, key, text, source)
+    name, passes, lo, times = fresh(docs.columns, "_mix_source", "_mix_passes", "_mix_lo", "_mix_times")
+    plan = plan.select(F.col("source").alias(name), F.col("passes").alias(passes), F.col("lo").alias(lo))
+    read = docs.join(_join_side(plan, n_sources), docs[source].eqNullSafe(F.col(name)))
+    read = read.withColumn(times, F.col(passes) + (doc_hash(docs[key]) < F.col(lo)).cast("long")).where(F.col(times) > 0)
+    return read.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])

@@ -252,6 +252,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     return docs.select("doc_id", "text").mapInArrow(score, out)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5, all columns as they are, judged in the pass that copies them."""
+    model = train_chain(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), 5) != 0, sample))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def keep(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(at))
+            for a, b in blocks(offsets):
+                s, _ = _score_block(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: held_out, score, predicted, and the number of toxic spans."""
     scored = score_toxicity(docs, labels)
