@@ -32,14 +32,20 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def sql_query(name: str, spark_sql: str, oracle: str | None = None, tables: tuple[str, ...] = ()) -> None:
-    """Register a query written in Spark SQL; ``{table}`` in it names a table of the test data."""
+def sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Register a query written in Spark SQL, in which ``{table}`` names a table of the test data.
+
+    Without an oracle of its own the same text, with plain table names, is the oracle.
+    """
+    used = tuple(t for t in TABLES if "{" + t + "}" in spark_sql)
+    plain = spark_sql
+    for t in used:
+        plain = plain.replace("{" + t + "}", t)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = tables or tuple(t for t in TABLES if "{" + t + "}" in spark_sql)
-        return spark.sql(spark_sql, **{t: df for t, df in zip(used, load(spark, sf_dir, *used))})
+        return spark.sql(spark_sql, **dict(zip(used, load(spark, sf_dir, *used))))
 
-    query(name, oracle if oracle is not None else None)(run)
+    query(name, oracle or plain)(run)
 
 
 def queries() -> dict[str, Query]:
