@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("relational", "windows")
+AREAS = ("relational", "windows", "dialect", "statements")
 
 
 def register_all() -> None:

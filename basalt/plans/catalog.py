@@ -48,6 +48,18 @@ def sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
     query(name, oracle or plain)(run)
 
 
+def dialect_query(name: str, text: str, oracle: str) -> None:
+    """Register a query written in the warehouse dialect, in which ``{table}`` names a table of the test data."""
+    used = tuple(t for t in TABLES if "{" + t + "}" in text)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from basalt.engine import Engine
+
+        return Engine(spark).sql(text, **dict(zip(used, load(spark, sf_dir, *used))))
+
+    query(name, oracle)(run)
+
+
 def queries() -> dict[str, Query]:
     from basalt.plans import register_all
 

@@ -50,7 +50,7 @@ sql_query("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {cus
 sql_query("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 sql_query("join_comma", "SELECT n.n_name, r.r_name FROM {nation} n, {region} r WHERE n.n_regionkey = r.r_regionkey")
 sql_query("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-sql_query("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+sql_query("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 sql_query("in_subquery", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)")
 sql_query("not_in_subquery", "SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 49.5 AND l_discount > 0.09)")
 sql_query("not_in_with_null", "SELECT count(*) AS n FROM {supplier} WHERE s_suppkey NOT IN (SELECT nullif(n_nationkey, 3) FROM {nation})")
@@ -95,7 +95,7 @@ sql_query("union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT
 sql_query("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 sql_query("intersect_distinct", "SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 45 INTERSECT SELECT l_partkey FROM {lineitem} WHERE l_quantity < 5")
 sql_query("intersect_all", "SELECT l_suppkey AS k FROM {lineitem} WHERE l_quantity > 45 INTERSECT ALL SELECT l_suppkey FROM {lineitem} WHERE l_quantity < 5")
-sql_query("except_distinct", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+sql_query("except_distinct", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000")
 sql_query("except_all", "SELECT l_suppkey AS k FROM {lineitem} WHERE l_quantity > 25 EXCEPT ALL SELECT l_suppkey FROM {lineitem} WHERE l_quantity <= 25")
 
 # Subqueries and CTEs

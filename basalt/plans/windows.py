@@ -14,7 +14,7 @@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), r A
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), r AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 sql_query("window_offsets", """SELECT event_id, lag(value) OVER w AS p1, lag(value, 2, -1.0) OVER w AS p2, lead(event_type) OVER w AS nx, first_value(value) OVER w AS f, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
 nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
-sql_query("window_running", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS run, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS mov, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}")
+sql_query("window_running", "SELECT o_orderkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mov, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}")
 sql_query("window_range_frame", "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS peers FROM {part}",
 "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, count(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS peers FROM part")
 sql_query("window_ignore_nulls", "SELECT event_id, last_value(nullif(event_type, 'click')) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_other FROM {events}",
