@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a side may have to be broadcast; beyond it the join is shuffled.  A row here is a few narrow columns.
 BROADCAST_ROWS = 200_000
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -31,12 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    It cuts the lineage, and what is read survives the loss of any executor.
+    It cuts the lineage, and what is read survives the loss of any executor.  The shuffle files that went into it are
+    of no more use and are removed at once, not when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/basalt-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(schema).parquet(path)
 
 
