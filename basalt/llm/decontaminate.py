@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.1  #: edits allowed per character of an item
-PASSAGE = 60  #: words; longer items are looked for as passages of this many, half overlapping
+PASSAGE = 60  #: words; longer items are looked for as passages of this many, half overlapping, and as windows
+WINDOW, STRIDE = 40, 11  #: words; windows of a long item and the words between their starts
+EXCERPT = WINDOW + STRIDE - 1  #: words; a stretch of a long item of at least this many holds a whole window
 LEAST_CHARS = 24  #: shorter items are matched without errors
 BLOCK_CHARS = 2_000_000  #: characters of items in one pass
 
@@ -33,13 +35,15 @@ def normal(text: str) -> str:
 
 
 def passages(text: str) -> Iterator[str]:
-    """A normalised item, or its half-overlapping passages if it is long."""
+    """A normalised item, or its half-overlapping passages and its windows if it is long."""
     words = normal(text).split(" ")
     if len(words) <= PASSAGE:
         yield " ".join(words)
         return
     for at in range(0, len(words) - PASSAGE // 2, PASSAGE // 2):
         yield " ".join(words[max(0, min(at, len(words) - PASSAGE)) :][:PASSAGE])
+    for at in range(0, len(words) - WINDOW + 1, STRIDE):
+        yield " ".join(words[at : at + WINDOW])
 
 
 def budget(m: int) -> int:
@@ -192,7 +196,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Where test items stand in documents: ``doc_id, item_id, start, end, distance``, one row per pair found.
 
     ``start`` and ``end`` are code points of the original text (of the best occurrence, the leftmost of equals; the
-    start is the end less the item's length), ``distance`` its edit distance, at most a tenth of the item's length.
+    start is the end less the pattern's length), ``distance`` its edit distance, at most a tenth of the pattern's length.
+    The pattern is the whole item; an item of over ``PASSAGE`` words has its passages and windows as patterns, so that
+    every verbatim excerpt of it of ``EXCERPT`` (50) words or more is found, and edited ones with few edits in a window.
     Null or blank texts and items match nothing.  Items that share an id are alternatives for it.  Repeated rows of
     ``docs`` are reported each.  No documents or no items give no rows; other columns are ignored.
     """

@@ -271,6 +271,21 @@ def test_decontamination(docs, spark):
     assert left.columns == both.columns and left.count() == clean.count()
 
 
+def test_decontamination_finds_excerpts_of_long_items(spark):
+    rng = random.Random(8)
+    for size in (61, 75, 90, 200):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(size)]
+        matcher = decontaminate.Matcher([(7, " ".join(words))])
+        for length in (50, 55, 60):
+            for at in range(size - length + 1):
+                text = "some words before " + " ".join(words[at : at + length]) + " and after"
+                assert [r[0] for r in matcher.find(text)] == [7], (size, length, at)
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[20:70]) + " y"), (2, "x " + " ".join(words[15:75])), (3, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()} == {(1, 7), (2, 7)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(1)
     for _ in range(500):
