@@ -47,6 +47,7 @@ sql_query("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM {orders} o
 sql_query("join_left", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 sql_query("join_right", "SELECT s.s_suppkey, n.n_nationkey FROM {supplier} s RIGHT JOIN {nation} n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0")
 sql_query("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey <= 80) c FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey > 5) s ON c.c_custkey = s.s_suppkey")
+sql_query("join_full_whole", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL JOIN {supplier} s ON c.c_custkey * 3 = s.s_suppkey * 2")
 sql_query("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 sql_query("join_comma", "SELECT n.n_name, r.r_name FROM {nation} n, {region} r WHERE n.n_regionkey = r.r_regionkey")
 sql_query("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
