@@ -58,6 +58,7 @@ sql_query("not_in_with_null", "SELECT count(*) AS n FROM {supplier} WHERE s_supp
 sql_query("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql_query("join_theta", "SELECT s.s_suppkey, count(*) AS n FROM {supplier} s JOIN {nation} n ON s.s_acctbal > n.n_nationkey * 400 AND s.s_nationkey <> n.n_nationkey GROUP BY s.s_suppkey")
 sql_query("join_null_keys", "SELECT count(*) AS n, count(b.p_partkey) AS m FROM (SELECT p_partkey, nullif(p_size, 7) AS k FROM {part}) a LEFT JOIN (SELECT p_partkey, nullif(p_size, 7) AS k FROM {part} WHERE p_partkey < 50) b ON a.k = b.k")
+sql_query("join_null_keys_whole", "SELECT CAST(sum(coalesce(b.c, 1)) AS BIGINT) AS n, CAST(sum(coalesce(b.c, 0)) AS BIGINT) AS m FROM (SELECT nullif(p_size, 7) AS k FROM {part}) a LEFT JOIN (SELECT nullif(p_size, 7) AS k, count(*) AS c FROM {part} GROUP BY nullif(p_size, 7)) b ON a.k = b.k")
 sql_query("five_way_join", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey
 JOIN {supplier} ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY n_name""")
 

@@ -14,3 +14,14 @@ def test_full_join_keeps_every_row_of_both_sides(spark, sf):
     matched = sum(None not in tuple(r) for r in got)
     assert matched > 0 and len(got) == len(left) + len(right) - matched
     assert any(r.c_custkey is None for r in got) and any(r.s_suppkey is None for r in got)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_null_keys_join_counts_the_pairs_of_whole_tables(spark, sf):
+    """The pre-aggregated join gives the counts of the many-to-many join."""
+    (part,) = catalog.load(spark, sf, "part")
+    keys = [None if r.p_size == 7 else r.p_size for r in part.select("p_size").collect()]
+    pairs = sum(keys.count(k) for k in keys if k is not None)
+    alone = keys.count(None)
+    (got,) = catalog.queries()["join_null_keys_whole"](spark, sf).collect()
+    assert alone > 0 and (got.n, got.m) == (pairs + alone, pairs)
