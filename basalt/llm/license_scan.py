@@ -3,13 +3,14 @@
 Every rolling pair of words of every text is hashed and joined with the positions at which licence templates hold the
 same pair.  A hit votes for the diagonal ``document position - template position``; hits of one notice share a
 diagonal, or neighbouring ones where words were added or left out.  Diagonals are merged, and a span counts when
-enough of its template is covered.  Everything is column functions: explode, a broadcast join with the templates (a
+enough of its template is covered.  A merged run that is too wide for one notice holds several: each diagonal that
+covers enough by itself is a span of its own, and the hits of the others are searched for stretches that do.  Everything is column functions: explode, a broadcast join with the templates (a
 fixed, small table), partial aggregation, and one exchange of the hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words: runs of ASCII digits and lower-cased letters and of anything beyond ASCII.
@@ -48,6 +49,24 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return t.withColumn("h", F.xxhash64(*[F.element_at(F.split("gram", " "), j + 1) for j in range(K)]))
 
 
+def _stretches() -> Column:
+    """The stretches of twice the template's grams, each from one of ``hits`` (by position), that hold enough places."""
+    grams = [p.split(" ") for p in (*PHRASES, *NOTICES)]
+    grams = [[tuple(w[j : j + K]) for j in range(len(w) - K + 1)] for w in grams]
+    most = max(2 * len(g) * max(map(g.count, g)) for g in grams)  # no more hits lie in a stretch, so a slice bounds the work
+    near = f"filter(slice(hits, i + 1, {most}), x -> x.pos < h.pos + 2 * n_grams)"
+    held = f"transform(hits, (h, i) -> struct(h.pos AS first, {near} AS near))"
+    held = f"transform({held}, s -> struct(s.first, array_max(s.near.pos) + {K - 1} AS last, size(array_distinct(s.near.t)) / n_grams AS cover))"
+    return F.expr(f"filter({held}, s -> s.cover >= {COVER}D)")
+
+
+def _loose_spans() -> Column:
+    """Spans of ``stretches``: the first that begins in each template's length, and any that covers more than the one before."""
+    block = "(({}.first - get(stretches, 0).first) div n_grams)"
+    kept = f"filter(stretches, (s, i) -> NOT ({block.format('s')} <=> {block.format('get(stretches, i - 1)')}) OR s.cover > get(stretches, i - 1).cover)"
+    return F.expr(f"transform({kept}, s -> struct(label, exact, s.first AS first, s.last AS last, s.cover AS cover))")
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Licence spans of every whole text: ``doc_id, n_words, found`` with ``found`` an array of (label, exact, first, last, cover).
 
@@ -73,17 +92,27 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     near = Window.partitionBy("doc_id", "th", "template").orderBy("diag")
     far = F.col("diag") - F.lag("diag").over(near) > F.when(F.col("exact"), 0).otherwise(SLIDE)
     votes = votes.withColumn("run", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(near))
-    spans = votes.groupBy("doc_id", "th", "n", "template", "label", "exact", "n_grams", "run").agg(
+    stretch = Window.partitionBy("doc_id", "th", "template", "run")
+    reach = F.max(F.col("diag") + F.array_max("places")).over(stretch) - F.min(F.col("diag") + F.array_min("places")).over(stretch) + 1
+    votes = votes.withColumn("wide", ~F.col("exact") & (reach > 2 * F.col("n_grams")))
+    # Parts of a wide run: each diagonal that is a notice by itself, and the other diagonals between two of those.
+    votes = votes.withColumn("whole", F.col("wide") & (F.size("places") >= COVER * F.col("n_grams")))
+    before = F.sum(F.col("whole").cast("int")).over(stretch.orderBy("diag"))
+    votes = votes.withColumn("loose", F.col("wide") & ~F.col("whole")).withColumn("part", F.when(F.col("wide"), before))
+    hit = F.transform("places", lambda t: F.struct((F.col("diag") + t).alias("pos"), t.alias("t")))
+    spans = votes.groupBy("doc_id", "th", "n", "template", "label", "exact", "n_grams", "run", "loose", "part").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.min(F.col("diag") + F.array_min("places")).alias("first"),
         F.max(F.col("diag") + F.array_max("places") + K - 1).alias("last"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("loose"), hit)))).alias("hits"),
         F.max("leads").alias("leads"),
-    )
+    ).withColumn("stretches", _stretches())
     cover = F.size("places") / F.col("n_grams")
     width = F.col("last") - F.col("first") - K + 2  # grams the span stretches over
     fits = F.when(F.col("exact"), F.size("places") == F.col("n_grams")).otherwise((cover >= COVER) & (width <= 2 * F.col("n_grams")))
-    span = F.when(F.col("template").isNotNull() & fits, F.struct("label", "exact", "first", "last", cover.alias("cover")))
-    return spans.groupBy("doc_id", "th", "n").agg(F.array_sort(F.collect_list(span)).alias("found"), F.max("leads").cast("int").alias("rows")).select("doc_id", F.when(F.col("n") > 0, F.col("n")).otherwise(0).cast("long").alias("n_words"), "found", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
+    one = F.when(F.col("template").isNotNull() & fits, F.array(F.struct("label", "exact", "first", "last", cover.alias("cover"))))
+    span = F.when(F.col("loose"), _loose_spans()).otherwise(one)
+    return spans.groupBy("doc_id", "th", "n").agg(F.array_sort(F.flatten(F.collect_list(span))).alias("found"), F.max("leads").cast("int").alias("rows")).select("doc_id", F.when(F.col("n") > 0, F.col("n")).otherwise(0).cast("long").alias("n_words"), "found", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:

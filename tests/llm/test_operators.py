@@ -251,6 +251,28 @@ def test_license_scan(docs, spark):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def test_license_scan_splits_columns_of_notices(spark):
+    rights, apache = "All rights reserved. ", next(p for p in license_scan.NOTICES if len(p.split()) > 15)
+    texts = [rights, rights * 2, "Copyright. " + rights * 50 + "End.", "all rights are rights reserved " * 20, rights + "all rights are rights reserved " + rights, "all rights " * 40, (apache + " ") * 3, "license x " * 30 + (apache + " ") + "rights reserved " * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3], texts[5]])] + [(0, texts[0])], "doc_id long, text string")
+    rows = license_scan.scan_licenses(df).collect()
+    assert len(rows) == len(texts) + 3
+    found = {r.doc_id: [(s.label, s.first, s.last, s.cover) for s in r.found if not s.exact] for r in rows}
+    spans = lambda i, label: [s[1:] for s in found[i] if s[0] == label]
+    assert spans(0, "proprietary") == [(0, 2, 1.0)]
+    assert spans(1, "proprietary") == [(0, 2, 1.0), (3, 5, 1.0)]
+    assert spans(2, "proprietary") == [(1 + 3 * i, 3 + 3 * i, 1.0) for i in range(50)]
+    edited = spans(3, "proprietary")
+    assert {n for a, b, _ in edited for n in range(a, b + 1)} == set(range(100)) and all(b - a <= 4 and c == 1 for a, b, c in edited)
+    assert spans(4, "proprietary") == [(0, 2, 1.0), (3, 7, 1.0), (8, 10, 1.0)]
+    assert found[5] == [] and found[8] == found[3] and found[9] == []
+    n = len(apache.split())
+    assert [s[:2] for s in spans(6, "apache-2.0") if s[1] - s[0] == n - 1] == [(0, n - 1), (n, 2 * n - 1), (2 * n, 3 * n - 1)]
+    assert (60, 60 + n - 1, 1.0) in spans(7, "apache-2.0")
+    labels = {r.doc_id: r.labels for r in license_scan.license_digest(df).collect()}
+    assert all("proprietary" in labels[i] for i in range(5)) and labels[5] == ""
+
+
 def test_decontamination(docs, spark):
     rng, items = random.Random(2), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     planted, want = [], set()
