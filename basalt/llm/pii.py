@@ -21,6 +21,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Two letters, two check digits and 11 to 30 characters, in one run or in groups of four.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 "
+    "LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 
 #: What a confirmed span is worth before its context is read.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.85, "phone": 0.7, "iban": 0.95, "imei": 0.2}
@@ -59,6 +64,28 @@ def mod97(code: str) -> bool:
     return int(turned) % 97 == 1
 
 
+def _iban_end(code: str) -> int:
+    """Where the IBAN that ``code``, a match of the pattern, begins with ends; 0 if there is none.
+
+    Blank-separated capitals or digits behind an IBAN belong to the match, so its ends at blanks are tried: first that
+    of the country's length, then the whole match, then, for a country without a listed length, the others from the longest.
+    """
+    ends = [i for i in range(len(code), 0, -1) if i == len(code) or code[i] == " "]
+    sizes = {i: i - code.count(" ", 0, i) for i in ends}
+    own = IBAN_LENGTHS.get(code[:2])
+    tried = [i for i in ends if sizes[i] == own] + ends[: len(ends) if own is None else 1]
+    return next((i for i in tried if sizes[i] >= 15 and mod97(code[:i].replace(" ", ""))), 0)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := IBAN.search(text, at):
+        size = _iban_end(m[0])
+        if size:
+            yield m.start(), m.start() + size
+        at = m.start() + (size or 1)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     # A match lies inside a run of characters that may occur in it, so only runs around an '@' are searched.
     at = text.find("@")
@@ -95,9 +122,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
         for m in PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 found.append((*m.span(), "phone"))
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            found.append((*m.span(), "iban"))
+    found += [(a, b, "iban") for a, b in _ibans(text)]
     out = []
     for start, end, kind in found:
         near = text[max(0, start - CONTEXT) : start].lower()

@@ -233,6 +233,17 @@ def test_pii_checks_and_context():
     assert pii.redact("mail a@b.co now") == "mail [email] now"
 
 
+def test_pii_ibans_before_capitals_and_digits(spark):
+    gb, de, no, xx = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947", "ZZ70 1111 2222 3333 44"
+    assert pii.mod97(xx.replace(" ", ""))
+    texts = {f"{gb} BIC NWBKGB2L": [gb], f"IBAN {gb} 100 EUR": [gb], f"{gb} {de} {no} {gb}": [gb, de, no, gb], f"REF AB12 3456 {gb} X": [gb], f"{xx} NEXT 77": [xx], f"{de} {de}X": [de], f"{gb}BIC": [], "GB82 WEST 1234 5698 7654 33 BIC": [], f"{gb}. {de}": [gb, de], gb: [gb]}
+    for text, want in texts.items():
+        assert [text[a:b] for a, b, k, _ in pii.find_spans(text) if k == "iban"] == want, text
+    assert pii.redact(f"pay {no} NOW") == "pay [iban] NOW"
+    df = spark.createDataFrame([(1, f"{gb} BIC NWBKGB2L")], "doc_id long, text string")
+    assert [s.value for s in pii.scan_pii(df).collect()[0].found if s.kind == "iban"] == [gb]
+
+
 def test_license_scan(docs, spark):
     extra = [(-20, "MIT License, the gnu General public license; apache license x mit license"), (-21, "general public general public license"), (-22, "é\x7fmit license"), (-23, "Licensed under the Apache License, Version 2.0 (the License); you may not use this old file except in compliance with the License")]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
