@@ -41,6 +41,22 @@ def merge(spark, sf_dir):
     return e.sql(f"SELECT k, bal FROM {t}")
 
 
+@query(
+    "dml_merge_whole",
+    """SELECT coalesce(t.s_suppkey, n.k) AS k, CASE WHEN n.k IS NOT NULL AND t.s_suppkey IS NOT NULL THEN t.bal + 1000 WHEN t.s_suppkey IS NULL THEN n.bal ELSE t.bal END AS bal
+    FROM (SELECT s_suppkey, floor(s_acctbal) AS bal FROM supplier) t FULL JOIN (SELECT c_custkey * 2 AS k, floor(c_acctbal) AS bal FROM customer) n ON t.s_suppkey = n.k
+    WHERE NOT (n.k IS NULL AND t.s_suppkey % 5 = 0)""",
+)
+def merge_whole(spark, sf_dir):
+    e, t = _engine(spark)
+    supplier, customer = load(spark, sf_dir, "supplier", "customer")
+    e.store.create_as(t, supplier.select(F.col("s_suppkey").alias("k"), F.floor("s_acctbal").cast("double").alias("bal")))
+    # Even keys meet odd and even ones: a part of the target is matched, a part is not, and most of the source is new.
+    customer.select((F.col("c_custkey") * 2).alias("k"), F.floor("c_acctbal").cast("double").alias("bal")).createOrReplaceTempView(t + "_src")
+    e.execute(f"MERGE INTO {t} AS a USING {t}_src AS b ON a.k = b.k WHEN MATCHED THEN UPDATE SET bal = a.bal + 1000 WHEN NOT MATCHED THEN INSERT (k, bal) VALUES (k, bal) WHEN NOT MATCHED BY SOURCE AND MOD(a.k, 5) = 0 THEN DELETE")
+    return e.sql(f"SELECT k, bal FROM {t}")
+
+
 @query("dml_insert_defaults", "SELECT n_nationkey AS id, n_name AS name, 'new' AS tag FROM nation")
 def insert_defaults(spark, sf_dir):
     e, t = _engine(spark)

@@ -25,3 +25,15 @@ def test_null_keys_join_counts_the_pairs_of_whole_tables(spark, sf):
     alone = keys.count(None)
     (got,) = catalog.queries()["join_null_keys_whole"](spark, sf).collect()
     assert alone > 0 and (got.n, got.m) == (pairs + alone, pairs)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_merge_meets_every_row_of_target_and_source(spark, sf):
+    """Each clause takes rows, and their numbers follow from the whole tables."""
+    customer, supplier = catalog.load(spark, sf, "customer", "supplier")
+    source = {2 * r.c_custkey for r in customer.select("c_custkey").collect()}
+    target = {r.s_suppkey for r in supplier.select("s_suppkey").collect()}
+    deleted = {k for k in target - source if k % 5 == 0}
+    got = [r.k for r in catalog.queries()["dml_merge_whole"](spark, sf).collect()]
+    assert deleted and target & source and source - target and target - source - deleted
+    assert sorted(got) == sorted((target | source) - deleted)
