@@ -9,6 +9,7 @@ d("dialect_qualify", "SELECT o_custkey, o_orderkey FROM {orders} QUALIFY RANK()
 d("dialect_star_replace", "SELECT * REPLACE (ROUND(c_acctbal) AS c_acctbal, UPPER(c_mktsegment) AS c_mktsegment) FROM {customer}", "SELECT * REPLACE (round(c_acctbal) AS c_acctbal, upper(c_mktsegment) AS c_mktsegment) FROM customer")
 d("dialect_unnest", "SELECT x, x * x AS sq FROM UNNEST(GENERATE_ARRAY(1, 20, 3)) AS x", "SELECT x, x * x AS sq FROM (SELECT unnest(range(1, 21, 3)) AS x)")
 d("dialect_unnest_offset", "SELECT vec_id, pos, CAST(e AS FLOAT64) AS e FROM {embeddings}, UNNEST(embedding) AS e WITH OFFSET AS pos WHERE pos < 3", "SELECT vec_id, CAST(pos - 1 AS INT) AS pos, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, unnest(embedding[1:3]) AS e, generate_subscripts(embedding[1:3], 1) AS pos FROM embeddings)")
+d("dialect_unnest_offset_whole", "SELECT vec_id, pos, CAST(e AS FLOAT64) AS e FROM {embeddings}, UNNEST(embedding) AS e WITH OFFSET AS pos", "SELECT vec_id, CAST(pos - 1 AS INT) AS pos, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings)")
 d("dialect_left_unnest", "SELECT r_regionkey, w FROM {region} LEFT JOIN UNNEST(IF(r_regionkey > 1, SPLIT(r_name, ' '), [])) AS w ON TRUE", "SELECT r_regionkey, unnest(CASE WHEN r_regionkey > 1 THEN string_split(r_name, ' ') ELSE [NULL] END) AS w FROM region")
 d("dialect_in_unnest", "SELECT p_partkey FROM {part} WHERE p_size IN UNNEST([3, 7, 11]) AND p_brand NOT IN UNNEST(['Brand#11', 'Brand#22'])", "SELECT p_partkey FROM part WHERE p_size IN (3, 7, 11) AND p_brand NOT IN ('Brand#11', 'Brand#22')")
 d("dialect_array_agg", "SELECT c_nationkey, ARRAY_TO_STRING(ARRAY_AGG(c_name ORDER BY c_acctbal DESC, c_custkey LIMIT 3), ';') AS top, ARRAY_LENGTH(ARRAY_AGG(DISTINCT c_mktsegment)) AS segs FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, array_to_string(list_slice(list(c_name ORDER BY c_acctbal DESC, c_custkey), 1, 3), ';') AS top, len(list(DISTINCT c_mktsegment)) AS segs FROM customer GROUP BY c_nationkey")
@@ -50,6 +51,8 @@ GREATEST(l_orderkey, NULLIF(l_linenumber, 2)) AS i, LEAST(l_linenumber, 3) AS j,
 CASE WHEN l_linenumber = 2 THEN NULL ELSE greatest(l_orderkey, l_linenumber) END AS i, least(l_linenumber, 3) AS j, CAST(bit_count(l_orderkey) AS BIGINT) AS k, CAST((l_quantity >= 10)::INT + (l_quantity >= 20)::INT + (l_quantity >= 30)::INT AS BIGINT) AS l FROM lineitem""")
 d("fn_vector_distance", "SELECT a.vec_id, ROUND(COSINE_DISTANCE(a.embedding, b.embedding), 5) AS c, ROUND(EUCLIDEAN_DISTANCE(a.embedding, b.embedding), 5) AS e FROM {embeddings} AS a CROSS JOIN (SELECT embedding FROM {embeddings} WHERE vec_id = 0) AS b",
 "SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS c, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS e FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+d("fn_vector_distance_queries", "SELECT a.vec_id, b.vec_id AS query_id, ROUND(COSINE_DISTANCE(a.embedding, b.embedding), 5) AS c, ROUND(EUCLIDEAN_DISTANCE(a.embedding, b.embedding), 5) AS e FROM {embeddings} AS a CROSS JOIN (SELECT vec_id, embedding FROM {embeddings} WHERE MOD(vec_id, 50) = 0) AS b",
+"SELECT a.vec_id, b.vec_id AS query_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS c, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS e FROM embeddings a CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) b")
 d("fn_conditional", "SELECT p_partkey, COALESCE(NULLIF(p_size, 1), 99) AS a, IFNULL(NULLIF(p_brand, 'Brand#11'), 'none') AS b, IF(p_size > 20, 'big', 'small') AS c, NVL2(NULLIF(p_size, 2), 'x', 'y') AS e, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS f, ZEROIFNULL(NULLIF(p_size, 3)) AS g FROM {part}",
 "SELECT p_partkey, coalesce(nullif(p_size, 1), 99) AS a, ifnull(nullif(p_brand, 'Brand#11'), 'none') AS b, if(p_size > 20, 'big', 'small') AS c, CASE WHEN nullif(p_size, 2) IS NOT NULL THEN 'x' ELSE 'y' END AS e, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS f, coalesce(nullif(p_size, 3), 0) AS g FROM part")
 

@@ -37,3 +37,19 @@ def test_merge_meets_every_row_of_target_and_source(spark, sf):
     got = [r.k for r in catalog.queries()["dml_merge_whole"](spark, sf).collect()]
     assert deleted and target & source and source - target and target - source - deleted
     assert sorted(got) == sorted((target | source) - deleted)
+
+
+def test_unnest_gives_every_component(spark):
+    sf = "/root/testdata/sf0.001"
+    (embeddings,) = catalog.load(spark, sf, "embeddings")
+    want = sorted((r.vec_id, i, e) for r in embeddings.select("vec_id", "embedding").collect() for i, e in enumerate(r.embedding))
+    assert sorted((r.vec_id, r.pos, r.e) for r in catalog.queries()["dialect_unnest_offset_whole"](spark, sf).collect()) == want
+    assert max(w[1] for w in want) > 3
+
+
+def test_distances_are_from_every_query_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = [r.vec_id for r in catalog.load(spark, sf, "embeddings")[0].select("vec_id").collect()]
+    want = sorted((i, q) for i in ids for q in ids if q % 50 == 0)
+    assert len({q for _, q in want}) > 1
+    assert sorted((r.vec_id, r.query_id) for r in catalog.queries()["fn_vector_distance_queries"](spark, sf).collect()) == want
