@@ -439,6 +439,7 @@ DATETIME: dict[str, Template] = {
     "PARSE_TIME": lambda a: f"to_time({a[1]}, {java_pattern(a[0])})",
     "JUSTIFY_DAYS": "named_struct('months', ({0}).months + ({0}).days div 30, 'days', ({0}).days % 30, 'micros', ({0}).micros)",
     "JUSTIFY_HOURS": "named_struct('months', ({0}).months, 'days', ({0}).days + ({0}).micros div 86400000000, 'micros', ({0}).micros % 86400000000)",
+    "JUSTIFY_INTERVAL": "if(({0}) IS NULL, NULL, named_struct('months', ({0}).months + (({0}).days + ({0}).micros div 86400000000) div 30, 'days', (({0}).days + ({0}).micros div 86400000000) % 30, 'micros', ({0}).micros % 86400000000))",
     "MAKE_INTERVAL": lambda a: fill("named_struct('months', CAST(12 * ({0}) + {1} AS BIGINT), 'days', CAST({2} AS BIGINT), 'micros', CAST((({3}) * 3600 + ({4}) * 60 + ({5})) * 1000000L AS BIGINT))", (a + ["0"] * 6)[:6]),
 }
 
