@@ -1,97 +1,141 @@
 """Exact set-similarity join by prefixes, without emitting the pairs of long lists.
 
-Sets are rows ``id, n`` and their tokens.  Two sets with Jaccard similarity ``t`` percent or more share one of
-their first ``n - ceil(t n) + 1`` tokens in any common order; from rare to common, those lists are short.
-
-A list longer than ``LIST`` does not give its pairs.  Its members are compared with one of them, the pivot P, and meet again under the tokens in which they differ from P, added ones and missing ones.  If X is similar
-to M but not to P, then X and M share at least ``max(1, |D| - (100 - t) / t * n)`` of the tokens D in which X (of n
-tokens) differs from P: their distance is too small for anything else.  So a prefix of D is enough.  Pairs that are
-both similar to P are not looked for: they are connected through it.  A set is open in a round if it is not similar to
-that round's pivot; only pairs, and lists, in which every round so far finds an open set go on.  Rounds end when no
-such list is long.
+A set of ``n`` tokens shares at least ``ceil(t n)`` of them with any set of Jaccard similarity ``t`` percent or more, so
+a set that shares fewer with all others together takes no part.  In a common order of the shared tokens, from rare to
+common, two similar sets meet under one of the first ``shared - ceil(t n) + 1`` of each.
+
+A list longer than ``LIST`` does not give its pairs.  Its members are compared with one set, the pivot P, and meet again
+under the tokens D in which they differ from P, added ones and missing ones.  Two sets A and B have
+``|A xor B| = |D(A)| + |D(B)| - 2 |D(A) & D(B)|``, and are similar if that is at most ``c (|A| + |B|)`` with
+``c = (1 - t) / (1 + t)``.  Sets that are both similar to P are connected through it; of any other pair one set, say B,
+is far from P: ``|D(B)| > c (|B| + |P|)``.  So the pair shares
+
+* more than ``(|D(A)| + c (|P| - |A|)) / 2`` of its differences, seen from A, and
+* at least ``(|D(B)| - c (|B| + |P|)) / 2``, and one, seen from B.
+
+Differences that no fitting partner has are struck out; a set left with too few is settled, and of the others a prefix
+is posted.  Copies that were edited independently share few differences, so nearly all of a large group settles here.
+A list of differences that would give more than ``PAIRS`` pairs goes on to a round with a pivot of its own, in which the
+pairs must once more have a far set; it loses its pivot in each round, so the rounds end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import discard, materialize
 
 LIST = 32  #: members of a list up to which all its pairs are looked at
-ROUNDS = 12  #: rounds of comparing with pivots at most; lists still long then give their pairs
+PAIRS = 1 << 14  #: pairs of a list of differences up to which they are looked at
+SALT = 512  #: members that meet one copy of their pivot in a join
+_ROUNDS = 60  #: of as many rounds back it is known whether a set was far
 
 
-def meet(posts: DataFrame, keys: list[str]) -> DataFrame:
-    """``posts`` of lists with two rows or more, with the list's length ``f``; one exchange, narrow rows, no join."""
-    return materialize(posts.withColumn("f", F.count("*").over(Window.partitionBy(*keys))).where("f > 1"))
+def least_shared(n: Column, percent: int) -> Column:
+    """The tokens that a set of ``n`` shares at least with any similar one."""
+    return F.ceil(n * percent / 100).cast("int")
 
 
-def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
+def prefixes(ordered: DataFrame, percent: int, *more: str) -> DataFrame:
     """``id, n, i, tok``: the posted tokens of sets whose ``toks`` are in the common order, and their places."""
-    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return ordered.select("id", "n", F.posexplode(F.slice("toks", F.lit(1), size)).alias("i", "tok"))
+    return ordered.select("id", "n", *more, F.posexplode(F.slice("toks", F.lit(1), F.col("n") - least_shared(F.col("n"), percent) + 1)).alias("i", "tok"))
 
 
-def short_pairs(met: DataFrame, keys: list[str], percent: int, limit: int | None, positions: bool, opened: int = 0) -> DataFrame:
-    """Pairs ``a < b`` of the lists up to ``limit`` that pass the length filter and, with ``positions``, theirs.
+def fits(p: str, q: str, percent: int, size: str = "n") -> Column:
+    """The length filter, and the positional one on places ``i`` among ``size`` tokens that can be shared."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    both = c(p, "n") + c(q, "n")
+    best = F.least(c(p, "i"), c(q, "i")) + F.least(c(p, size) - c(p, "i"), c(q, size) - c(q, "i"))
+    return (F.least(c(p, "n"), c(q, "n")) * 100 >= F.greatest(c(p, "n"), c(q, "n")) * percent) & (best * (100 + percent) >= both * percent)
 
-    With ``opened``, a mask of rounds, one of the two sets must be open in each of them.
-    """
-    short = met if limit is None else met.where(F.col("f") <= limit)
-    p, q = short.alias("p"), short.alias("q")
-    on = F.col("p.id") < F.col("q.id")
-    for k in keys:
-        on &= F.col(f"p.{k}") == F.col(f"q.{k}")
-    on &= F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
-    if opened:
-        on &= F.col("p.open").bitwiseOR(F.col("q.open")) == opened
-    if positions:
-        best = F.least("p.i", "q.i") + F.least(F.col("p.n") - F.col("p.i"), F.col("q.n") - F.col("q.i"))
-        on &= best * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
-    return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-
-
-def crowd_pairs(own: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among sets given as ``id, first, n, tok`` (long), ordered by exact counts among themselves.
+
+def _ordered(p: str, q: str) -> tuple[Column, Column]:
+    return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
+
+
+def crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``a < b`` among sets given as ``id, toks`` (distinct tokens; a table, read repeatedly).
 
     Every pair with the similarity is a candidate, or both its sets are similar to one pivot and candidates with it.
-    The pivot of a token is the set of smallest ``first`` that holds it, posted there or not: the sets of one cluster
-    then have one pivot, not one for each list they stand in.
+    The pivot of a list is its set of smallest ``first``, if that column is given, else the one that shares most.
     """
-    limit = LIST
-    same = Window.partitionBy("tok")
-    counted = own.withColumns({"f": F.count("*").over(same), "pivot": F.min(F.struct("first", "id")).over(same)["id"]})
-    in_order = F.array_sort(F.collect_list(F.struct("f", "tok", "pivot")))
-    ranked = materialize(counted.groupBy("id").agg(F.first("first").alias("first"), F.first("n").alias("n"), in_order.alias("toks")))
-    met = prefixes(ranked, percent).select("id", "n", "i", "tok.*").where("f > 1")
-    out, scratch = [short_pairs(met, ["tok"], percent, limit, True)], [ranked]
-    long = met.where(F.col("f") > limit).select("id", F.lit(0).cast("long").alias("grp"), F.lit(0).alias("open"), "pivot").where("id != pivot").distinct()
-    plain = ranked.select("id", "first", "n", F.transform("toks", lambda t: t["tok"]).alias("own"))
-    for round_ in range(ROUNDS):
-        long = materialize(long)
-        scratch.append(long)
-        if long.isEmpty():
-            break
-        out.append(long.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-        heads = plain.join(long.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("own").alias("head"))
-        rest = long.join(plain, "id").join(heads, "pivot").withColumns({"more": F.array_except("own", "head"), "less": F.array_except("head", "own")})
-        both = F.col("n") - F.size("more")
-        far = both * 100 < (F.col("n") + F.size("less")) * percent
-        mask, full = 1 << round_, (1 << (round_ + 1)) - 1
-        differ = F.concat("more", F.transform("less", lambda t: F.xxhash64(t, F.lit("missing"))))
-        posted = F.slice(differ, F.lit(1), F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1)
-        posts = rest.select("id", "first", "n", F.xxhash64("grp", "pivot").alias("grp"), F.lit(0).alias("i"), F.col("open").bitwiseOR(F.when(far, mask).otherwise(0)).alias("open"), F.explode(posted).alias("tok"))
-        same = Window.partitionBy("grp", "tok")
-        met = posts.withColumns({"f": F.count("*").over(same), "pivot": F.min(F.struct("first", "id")).over(same)["id"], "any": F.bit_or("open").over(same)})
-        met = materialize(met.where((F.col("f") > 1) & (F.col("any") == full)).drop("first", "any"))
-        scratch.append(met)
-        last = round_ == ROUNDS - 1
-        out.append(short_pairs(met, ["grp", "tok"], percent, None if last else limit, False, full))
-        long = met.where(F.col("f") > limit).select("id", "grp", "open", "pivot").where("id != pivot").distinct()
+    given = ["first"] if "first" in sets.columns else []
+    tokens = sets.select("id", *given, F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    held = tokens.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(held, "tok").groupBy("id", "n", *given).agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("toks"))
+    room = F.size("toks") - least_shared(F.col("n"), percent) + 1
+    # ``s`` tokens can be shared at all; positions count among them.  An original shares more than its copies do.
+    first = F.col("first") if given else -F.size("toks")
+    posts = shared.where(room > 0).select("id", first.alias("first"), "n", F.size("toks").alias("s"), F.posexplode(F.slice("toks", F.lit(1), room)).alias("i", "t"))
+    posts = materialize(posts.select("id", "first", "n", "s", "i", F.col("t.tok").alias("tok")))
+    plain = materialize(sets.select("id", F.size("toks").alias("n"), "toks").join(posts.select("id", "first").distinct(), "id"))
+    lists = posts.groupBy("tok").agg(F.count("*").alias("f"), F.min(F.struct("first", "id"))["id"].alias("pivot")).where("f > 1")
+    met = materialize(posts.drop("first").join(lists, "tok"))
+    discard(posts)
+    p, q = met.where(F.col("f") <= LIST).alias("p"), met.where(F.col("f") <= LIST).alias("q")
+    on = (F.col("p.tok") == F.col("q.tok")) & (F.col("p.id") < F.col("q.id")) & fits("p", "q", percent, "s")
+    out = [materialize(p.join(q, on).select(*_ordered("p.id", "q.id")).distinct())]
+    group = met.where(F.col("f") > LIST).select("id", F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("open"), "pivot")
+    group = materialize(group.where("id != pivot").distinct())
+    discard(met)
+    round_ = 0
+    while not group.isEmpty():
+        near, posted = _differences(group, plain, percent)
+        full = (1 << min(round_ + 1, _ROUNDS)) - 1
+        strict = F.col("strict").cast("long")
+        count = posted.groupBy("grp", "tok").agg((F.sum(strict) * F.sum(1 - strict)).alias("pairs")).where("pairs > 0")
+        met = materialize(posted.join(count, ["grp", "tok"]))
+        short = met.where(F.col("pairs") <= PAIRS)
+        # One set by what it must share with a far one, and the far one.
+        p, q = short.where("strict").alias("p"), short.where("NOT strict").alias("q")
+        open_ = F.col("p.open").bitwiseOR(F.col("q.open")) == full
+        length = F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
+        on = (F.col("p.grp") == F.col("q.grp")) & (F.col("p.tok") == F.col("q.tok")) & (F.col("p.id") != F.col("q.id")) & length & open_
+        out += [near, materialize(p.join(q, on).select(*_ordered("p.id", "q.id")).distinct())]
+        discard(group, posted)
+        group = materialize(met.where(F.col("pairs") > PAIRS).select("id", "grp", "open", "pivot").where("id != pivot").distinct())
+        discard(met)
+        round_ += 1
+    discard(group)
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.union(more)
     pairs = materialize(pairs.distinct())
-    discard(*scratch)
+    discard(*out, plain)
     return pairs
+
+
+def _differences(group: DataFrame, plain: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For sets ``id, grp, open`` with a ``pivot``: the pairs similar to it, and what is posted of the differences.
+
+    Posted rows are ``id, n, open, grp, tok, pivot, strict``: ``strict`` ones by what a set must share with a far set,
+    the others, of far sets only, by what they must share with any.  ``pivot`` is the one of the next round.
+    """
+    c100, c200 = 100 - percent, 100 + percent
+    # A pivot of many sets is copied, so that its sets meet it in many tasks.
+    copies = group.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).cast("int").alias("copies"))
+    heads = plain.join(copies, plain["id"] == copies["pivot"]).select("pivot", "copies", F.col("toks").alias("head"), F.explode(F.sequence(F.lit(1), "copies")).alias("salt"))
+    dealt = group.join(copies, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), "copies").cast("int") + 1).drop("copies")
+    both = dealt.join(plain, "id").join(heads.drop("copies"), ["pivot", "salt"])
+    more, less = F.array_except("toks", "head"), F.array_except("head", "toks")
+    both = both.select("id", "first", "n", "pivot", F.xxhash64("grp", "pivot").alias("grp"), "open", F.size("head").alias("m"), F.concat(more, F.transform(less, lambda t: F.xxhash64(t, F.lit("missing")))).alias("differ"))
+    both = both.withColumn("d", F.size("differ")).withColumn("far", (F.col("d") * c200 > (F.col("n") + F.col("m")) * c100).cast("int"))
+    was = F.shiftleft("open", 1).bitwiseAND((1 << _ROUNDS) - 1)
+    both = materialize(both.withColumn("open", was.bitwiseOR(F.col("far").cast("long"))))
+    near = materialize(both.where("far = 0").select(*_ordered("id", "pivot")).distinct())
+    posts = both.select("id", "first", "grp", "far", F.explode("differ").alias("tok"))
+    lists = posts.groupBy("grp", "tok").agg(F.count("*").alias("f"), F.sum("far").alias("ff"), F.min(F.struct("first", "id"))["id"].alias("head")).where("f > 1 AND ff > 0")
+    kept = posts.select("id", "grp", "tok").join(lists, ["grp", "tok"]).groupBy("id", "grp").agg(F.array_sort(F.collect_list(F.struct("f", "tok", "head", "ff"))).alias("toks"))
+    kept = kept.join(both.select("id", "grp", "n", "m", "d", "open", "far"), ["id", "grp"])
+    strict = F.filter("toks", lambda t: t["ff"] > F.col("far"))
+    need = F.floor((F.col("d") * c200 + (F.col("m") - F.col("n")) * c100) / (2 * c200)).cast("int") + 1
+    weak = F.greatest(F.ceil((F.col("d") * c200 - (F.col("n") + F.col("m")) * c100) / (2 * c200)).cast("int"), F.lit(1))
+    own = ["id", "n", "open", "grp"]
+    one = kept.withColumn("left", strict).withColumn("room", F.size("left") - need + 1).where("room > 0")
+    one = one.select(*own, F.explode(F.slice("left", F.lit(1), F.col("room"))).alias("t"), F.lit(True).alias("strict"))
+    two = kept.where("far = 1").withColumn("room", F.size("toks") - weak + 1).where("room > 0")
+    two = two.select(*own, F.explode(F.slice("toks", F.lit(1), F.col("room"))).alias("t"), F.lit(False).alias("strict"))
+    posted = materialize(one.union(two).select(*own, F.col("t.tok").alias("tok"), F.col("t.head").alias("pivot"), "strict"))
+    discard(both)
+    return near, posted

@@ -75,6 +75,7 @@ def components(rows, percent):
 def test_near_duplicates(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(minhash, "LIST", limit)
     monkeypatch.setattr(setjoin, "LIST", limit)
+    monkeypatch.setattr(setjoin, "PAIRS", 16 if limit == 2 else setjoin.PAIRS)
     got = minhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -84,6 +85,7 @@ def test_near_duplicates_pivots_find_members_between(spark, monkeypatch):
     """A far copy is linked with a member of a long list that the pivot does not link it with."""
     monkeypatch.setattr(minhash, "LIST", 3)
     monkeypatch.setattr(setjoin, "LIST", 3)
+    monkeypatch.setattr(setjoin, "PAIRS", 2)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     texts = [list(base)]
