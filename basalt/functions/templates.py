@@ -60,7 +60,7 @@ STRING: dict[str, Template] = {
         a3="CAST(locate({1}, {0}, {2}) AS BIGINT)",
         a4="CAST(aggregate(sequence(1, {3}), {2} - 1, (p, k) -> IF(p < 0, p, locate({1}, {0}, CAST(p + 1 AS INT)) - IF(locate({1}, {0}, CAST(p + 1 AS INT)) = 0, 1, 0)), p -> greatest(p, 0)) AS BIGINT)",
     ),
-    "SPLIT": _n(a1="split({0}, ',')", a2=f"split({{0}}, {_quoted('{1}')})"),
+    "SPLIT": _n(a1="split({0}, ',')", a2=f"IF({{1}} = '', filter(split({{0}}, ''), c -> c <> ''), split({{0}}, {_quoted('{1}')}))"),
     "FORMAT": "format_string({*})",
     "INITCAP": _n(a1="initcap({0})", a2="array_join(transform(split({0}, '(?<=[' || {1} || '])'), w -> concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))), '')"),
     "LPAD": _n(a2="lpad({0}, {1})", a3="lpad({0}, {1}, {2})"),
@@ -100,6 +100,7 @@ MATH: dict[str, Template] = {
     "CEIL": "CAST(ceil({0}) AS DOUBLE)",
     "CEILING": "CAST(ceil({0}) AS DOUBLE)",
     "TRUNC": _n(a1="sign({0}) * CAST(floor(abs({0})) AS DOUBLE)", a2="sign({0}) * CAST(floor(abs({0}) * pow(10, {1})) AS DOUBLE) / pow(10, {1})"),
+    "TRUNCATE": _n(a1="sign({0}) * CAST(floor(abs({0})) AS DOUBLE)", a2="sign({0}) * CAST(floor(abs({0}) * pow(10, {1})) AS DOUBLE) / pow(10, {1})"),
     "DIV": "(({0}) div ({1}))",
     "SIGN": "CAST(signum({0}) AS BIGINT)",
     "LN": "CASE WHEN {0} > 0 THEN ln({0}) WHEN {0} = 0 THEN -double('infinity') WHEN {0} < 0 THEN double('NaN') END",
@@ -168,6 +169,14 @@ ENCODING: dict[str, Template] = {
     "HLL_COUNT.MERGE": "hll_sketch_estimate(hll_union_agg({0}))",
 }
 
+def _array_slice(a: list[str]) -> str:
+    """Elements from ``start`` (from 1; negative ones from the end) up to ``end``; a negative end leaves so many out."""
+    x, start, end = (f"({v})" for v in a)
+    low = f"CASE WHEN {start} < 0 THEN greatest(size({x}) + {start}, 0) WHEN {start} = 0 THEN 0 ELSE least({start} - 1, size({x})) END"
+    high = f"CASE WHEN {end} < 0 THEN greatest(size({x}) + {end}, 0) ELSE least({end}, size({x})) END"
+    return f"slice({x}, CAST({low} AS INT) + 1, CAST(greatest({high} - {low}, 0) AS INT))"
+
+
 ARRAY: dict[str, Template] = {
     "ARRAY_LENGTH": "CAST(array_size({0}) AS BIGINT)",
     "ARRAY_TO_STRING": _n(a2="array_join({0}, {1})", a3="array_join({0}, {1}, {2})"),
@@ -181,7 +190,7 @@ ARRAY: dict[str, Template] = {
     "ARRAY_LAST": "element_at({0}, -1)",
     "ARRAY_FIRST_N": "slice({0}, 1, {1})",
     "ARRAY_LAST_N": "slice({0}, greatest(size({0}) - {1}, 0) + 1, {1})",
-    "ARRAY_SLICE": "slice({0}, {1} + 1, {2} - {1} + 1)",
+    "ARRAY_SLICE": _array_slice,
     "ARRAY_SUM": "aggregate({0}, CAST(0 AS DOUBLE), (s, v) -> s + coalesce(v, 0))",
     "ARRAY_AVG": "(aggregate({0}, CAST(0 AS DOUBLE), (s, v) -> s + coalesce(v, 0)) / nullif(size(array_compact({0})), 0))",
     "ARRAY_INCLUDES": "array_contains({0}, {1})",
@@ -201,10 +210,16 @@ ARRAY: dict[str, Template] = {
     "ORDINAL": "element_at({0}, {1})",
 }
 
+def _json_text(a: list[str]) -> str:
+    made = f"to_json(named_struct('v', {a[0]}), map('ignoreNullFields', 'false'))"
+    return f"substring({made}, 6, length({made}) - 6)"
+
+
 JSON: dict[str, Template] = {
-    "TO_JSON": "parse_json(to_json(struct({0} AS v))):v",
-    "TO_JSON_STRING": "to_json({0})",
-    "PARSE_JSON": "parse_json({0})",
+    # JSON is text: what is parsed is checked and kept, and any value is written through a field of a struct.
+    "TO_JSON": _json_text,
+    "TO_JSON_STRING": _json_text,
+    "PARSE_JSON": "CASE WHEN {0} IS NULL THEN NULL WHEN try_parse_json({0}) IS NULL THEN raise_error('invalid JSON') ELSE to_json(parse_json({0})) END",
     "JSON_QUERY": "get_json_object({0}, {1})",
     "JSON_EXTRACT": "get_json_object({0}, {1})",
     "JSON_VALUE": "IF(substring(ltrim(get_json_object({0}, {1})), 1, 1) IN ('{{', '['), NULL, get_json_object({0}, {1}))".replace("{{", "{"),
@@ -458,6 +473,7 @@ AGGREGATE: dict[str, Template] = {
     "ANY_VALUE": "first({0}, true)",
     "APPROX_COUNT_DISTINCT": "count(DISTINCT {0})",
     "APPROX_QUANTILES": lambda a: f"percentile({a[0]}, array({', '.join(f'{i}D/{int(a[1])}' for i in range(int(a[1]) + 1))}))",
+    "APPROX_TOP_COUNT": "transform(approx_top_k({0}, {1}), e -> named_struct('value', e.item, 'count', e.count))",
     "VAR": "variance({0})",
     "XMLAGG": "listagg({0}, '')",
 }

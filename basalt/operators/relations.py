@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.session import shared_folder
 
 def qualify(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows for which a predicate over window functions is TRUE (the QUALIFY clause).
@@ -110,7 +111,9 @@ def recursive_union(seed: DataFrame, step, limit: int = 500) -> DataFrame:
     frontier = seed.distinct()
     total = frontier
     for _ in range(limit):
-        fresh = step(frontier).join(total, list(total.columns), "left_anti").distinct()
+        new = step(frontier).toDF(*total.columns).alias("new")
+        known = functools.reduce(lambda a, b: a & b, [F.col(f"new.`{c}`").eqNullSafe(F.col(f"old.`{c}`")) for c in total.columns])
+        fresh = new.join(total.alias("old"), known, "left_anti").distinct()
         fresh = _cut(fresh)
         if fresh.isEmpty():
             return total
@@ -121,9 +124,7 @@ def recursive_union(seed: DataFrame, step, limit: int = 500) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basalt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -86,7 +86,7 @@ d("fn_time_bucket_group", "SELECT FORMAT_DATETIME('%F %R', DATETIME_BUCKET(ts, I
 # Arrays, JSON, ranges
 d("fn_arrays", """SELECT vec_id, ARRAY_LENGTH(ARRAY_CONCAT([1, 2], [3])) AS a, ARRAY_TO_STRING(ARRAY_REVERSE([1, 2, 3]), ',') AS b, ARRAY_TO_STRING(['a', NULL, 'c'], ',', '?') AS c, ARRAY_FIRST([7, 8]) AS e, ARRAY_LAST([7, 8]) AS f, ARRAY_SUM([1, 2, 4]) AS g, ARRAY_AVG([1, 2, 6]) AS h, ARRAY_INCLUDES([1, 2], 2) AS i, ARRAY_INCLUDES_ANY([1], [2]) AS j,
 ARRAY_INCLUDES_ALL([1, 2, 3], [3, 1]) AS k, ARRAY_TO_STRING(ARRAY_DISTINCT([1, 1, 2]), ',') AS l, ARRAY_TO_STRING(ARRAY_SLICE([1, 2, 3, 4], 1, 2), ',') AS m, ARRAY_MAX([3, 9, 4]) AS n, ARRAY_MIN([3, 9, 4]) AS o FROM {embeddings}""",
-"SELECT vec_id, 3::BIGINT AS a, '3,2,1' AS b, 'a,?,c' AS c, 7 AS e, 8 AS f, 7.0::DOUBLE AS g, 3.0::DOUBLE AS h, true AS i, false AS j, true AS k, '1,2' AS l, '2,3' AS m, 9 AS n, 3 AS o FROM embeddings")
+"SELECT vec_id, 3::BIGINT AS a, '3,2,1' AS b, 'a,?,c' AS c, 7 AS e, 8 AS f, 7.0::DOUBLE AS g, 3.0::DOUBLE AS h, true AS i, false AS j, true AS k, '1,2' AS l, '1,2' AS m, 9 AS n, 3 AS o FROM embeddings")
 d("fn_json", "SELECT event_id, JSON_VALUE(props, '$.k') AS a, CAST(JSON_VALUE(props, '$.k') AS INT64) AS b, JSON_QUERY(props, '$.zz') AS c, JSON_TYPE(props) AS e, ARRAY_TO_STRING(JSON_KEYS(props), ',') AS f, LAX_INT64(JSON_VALUE(props, '$.k')) AS g, JSON_VALUE(JSON_SET(props, '$.n', 5), '$.n') AS h, JSON_VALUE(JSON_REMOVE(props, '$.k'), '$.k') IS NULL AS i FROM {events}",
 "SELECT event_id, props->>'$.k' AS a, CAST(props->>'$.k' AS BIGINT) AS b, CAST(NULL AS VARCHAR) AS c, 'object' AS e, array_to_string(json_keys(props), ',') AS f, CAST(props->>'$.k' AS BIGINT) AS g, '5' AS h, true AS i FROM events")
 d("fn_ranges", "SELECT o_orderkey, RANGE_CONTAINS(RANGE<DATE> '[1995-01-01, 1997-01-01)', DATE(o_orderdate)) AS a, RANGE_OVERLAPS(RANGE(DATE(o_orderdate), DATE_ADD(DATE(o_orderdate), INTERVAL 30 DAY)), RANGE<DATE> '[1996-01-01, UNBOUNDED)') AS b, CAST(RANGE_START(RANGE<DATE> '[1995-01-01, 1997-01-01)') AS STRING) AS c, ARRAY_LENGTH(GENERATE_RANGE_ARRAY(RANGE<DATE> '[2024-01-01, 2024-01-10)', INTERVAL 3 DAY)) AS e FROM {orders}",

@@ -175,3 +175,79 @@ def pivot_quarters(spark, sf_dir):
     (orders,) = load(spark, sf_dir, "orders")
     t = orders.withColumn("q", F.quarter("o_orderdate")).groupBy("o_orderpriority").pivot("q", [1, 2, 3, 4]).count()
     return t.select("o_orderpriority", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"q{i}") for i in range(1, 5)])
+
+
+@query(
+    "script_dml",
+    "SELECT n_nationkey AS id, CAST(CASE WHEN n_regionkey < 3 THEN n_regionkey + 1 ELSE 0 END AS BIGINT) AS v, 'live' AS kind FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT n_nationkey, 0::BIGINT, 'snap' FROM nation UNION ALL SELECT n_nationkey, 0::BIGINT, 'back' FROM nation",
+)
+def script_dml(spark, sf_dir):
+    """DML in a loop changes the table and neither its snapshot nor what a rollback brings back."""
+    e, t = _engine(spark)
+    (nation,) = load(spark, sf_dir, "nation")
+    e.store.create_as(t, nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("r"), F.lit(0).cast("long").alias("v")))
+    e.execute(f"CREATE SNAPSHOT TABLE {t}_s CLONE {t}")
+    e.execute("BEGIN TRANSACTION")
+    e.script(f"DECLARE k INT64 DEFAULT 0; WHILE k < 3 DO UPDATE {t} SET v = v + k + 1 WHERE r = k; SET k = k + 1; END WHILE; DELETE FROM {t} WHERE r = k;")
+    live = e.sql(f"SELECT CAST(id AS INT) AS id, v, 'live' AS kind FROM {t}")
+    e.execute("ROLLBACK")
+    return live.unionAll(e.sql(f"SELECT CAST(id AS INT) AS id, v, 'snap' AS kind FROM {t}_s UNION ALL SELECT CAST(id AS INT), v, 'back' FROM {t}"))
+
+
+@query("dml_update_nested", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS price, o_orderpriority AS p FROM orders")
+def update_nested(spark, sf_dir):
+    e, t = _engine(spark)
+    load(spark, sf_dir, "orders")[0].createOrReplaceTempView(t + "_o")
+    e.execute(f"CREATE TABLE {t} AS SELECT o_orderkey, STRUCT(o_totalprice AS price, o_orderpriority AS p) AS s FROM {t}_o")
+    e.execute(f"UPDATE {t} SET s.price = s.price * 2 WHERE s.p = '1-URGENT'")
+    return e.sql(f"SELECT o_orderkey, s.price AS price, s.p AS p FROM {t}")
+
+
+@query("qualified_names", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def qualified_names(spark, sf_dir):
+    e, t = _engine(spark)
+    for name, df in zip(("nation", "region"), load(spark, sf_dir, "nation", "region")):
+        df.createOrReplaceTempView(f"{t}_{name}")
+        e.execute(f"CREATE TABLE {t}.{name} AS SELECT * FROM {t}_{name}")
+    return e.sql(f"SELECT nation.n_name, r.r_name FROM {t}.nation JOIN `p.{t}.region` AS r ON nation.n_regionkey = r.r_regionkey")
+
+
+@query("gap_fill_from_clause", _GRID + " SELECT event_type, strftime(t, '%Y-%m-%d %H') AS t, last_value(n IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM j")
+def gap_fill_from_clause(spark, sf_dir):
+    e, t = _engine(spark)
+    _hourly(spark, sf_dir).createOrReplaceTempView(t)
+    out = e.sql(f"SELECT event_type, t, n FROM GAP_FILL(TABLE {t}, ts_column => 't', bucket_width => INTERVAL 1 HOUR, partitioning_columns => ['event_type'], value_columns => [('n', 'locf')])")
+    return out.withColumn("t", F.date_format("t", "yyyy-MM-dd HH"))
+
+
+@query("table_function", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def table_function(spark, sf_dir):
+    e, t = _engine(spark)
+    e.store.create_as(t, load(spark, sf_dir, "customer")[0])
+    e.execute(f"CREATE OR REPLACE TABLE FUNCTION {t}_f(seg STRING) AS SELECT c_custkey, c_name FROM {t} WHERE c_mktsegment = seg")
+    return e.sql(f"SELECT c_custkey, c_name FROM {t}_f('BUILDING')")
+
+
+@query("aggregate_function", "SELECT c_mktsegment, round(max(c_acctbal * 2) - min(c_acctbal * 2), 6) AS spread FROM customer GROUP BY 1")
+def aggregate_function(spark, sf_dir):
+    e, t = _engine(spark)
+    e.execute(f"CREATE AGGREGATE FUNCTION {t}_a(v FLOAT64) AS (MAX(v) - MIN(v))")
+    return e.sql(f"SELECT c_mktsegment, ROUND({t}_a(c_acctbal * 2), 6) AS spread FROM {{customer}} GROUP BY c_mktsegment", customer=load(spark, sf_dir, "customer")[0])
+
+
+@query("approx_top_count", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
+def approx_top_count(spark, sf_dir):
+    return Engine(spark).sql("SELECT t.value AS value, t.count AS n FROM (SELECT APPROX_TOP_COUNT(o_orderpriority, 5) AS a FROM {orders}) AS q, UNNEST(a) AS t", orders=load(spark, sf_dir, "orders")[0])
+
+
+@query("array_slice_columns", "SELECT vec_id, embedding[2:4] [1] AS a, len(embedding[2:4]) AS n, embedding[-3:] [1] AS b, len(embedding[5:2]) AS none FROM embeddings")
+def array_slice_columns(spark, sf_dir):
+    e = Engine(spark)
+    text = "SELECT vec_id, ARRAY_SLICE(embedding, 2, 4)[OFFSET(0)] AS a, ARRAY_LENGTH(ARRAY_SLICE(embedding, 2, 4)) AS n, ARRAY_SLICE(embedding, -3, 100000)[OFFSET(0)] AS b, ARRAY_LENGTH(ARRAY_SLICE(embedding, 5, 2)) AS none FROM {embeddings}"
+    return e.sql(text, embeddings=load(spark, sf_dir, "embeddings")[0])
+
+
+@query("json_values", "SELECT c_custkey, c_custkey::VARCHAR AS k, c_name AS name FROM customer")
+def json_values(spark, sf_dir):
+    text = "SELECT c_custkey, JSON_VALUE(TO_JSON(STRUCT(c_custkey AS k)), '$.k') AS k, JSON_VALUE(PARSE_JSON(TO_JSON_STRING(STRUCT(c_name AS name))), '$.name') AS name FROM {customer}"
+    return Engine(spark).sql(text, customer=load(spark, sf_dir, "customer")[0])

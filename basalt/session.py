@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +26,23 @@ def session(master: str | None = None, name: str = "basalt", **extra: str) -> Sp
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | extra).getOrCreate()
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as ``spark.checkpoint.dir`` names it.
+
+    Only where one machine runs everything may it be a temporary folder of our own, removed at exit.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="basalt-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+    return "file://" + _own["dir"]

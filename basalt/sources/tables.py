@@ -17,7 +17,9 @@ from pyspark.sql.types import StructField, StructType
 
 @dataclass
 class Version:
-    path: str
+    """Folders of Parquet files, none of which changes any more; an insert adds one."""
+
+    paths: list[str]
     schema: StructType
 
 
@@ -48,7 +50,7 @@ class TableStore:
 
     def read(self, name: str) -> DataFrame:
         v = self._version(name)
-        return self.spark.read.schema(v.schema).parquet(v.path)
+        return self.spark.read.schema(v.schema).parquet(*v.paths)
 
     def _version(self, name: str) -> Version:
         try:
@@ -70,13 +72,19 @@ class TableStore:
             raise ValueError(f"table {name} exists")
         self._write(name, df)
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema])
+    def _store(self, name: str, df: DataFrame, schema: StructType) -> str:
         for c in self.required.get(name.lower(), ()):
             df = df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in required column {c}"))).otherwise(F.col(c)))
         path = f"{self.folder}/{name.lower()}/{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(path)
-        self.tables[name.lower()] = Version(path, schema)
+        df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema]).write.parquet(path)
+        return path
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema])
+        self._point(name, Version([self._store(name, df, schema)], schema))
+
+    def _point(self, name: str, version: Version) -> None:
+        self.tables[name.lower()] = version
         self.read(name).createOrReplaceTempView(name)
 
     def drop(self, name: str, if_exists: bool = False) -> None:
@@ -97,15 +105,28 @@ class TableStore:
             raise ValueError(f"no such column: {sorted(unknown)[0]}")
         defaults = self.defaults.get(name.lower(), {})
         new = rows.select(*[(F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else defaults.get(f.name.lower(), F.lit(None))).cast(f.dataType).alias(f.name) for f in schema])
-        n = rows.count()
-        self._write(name, self.read(name).unionByName(new))
-        return n
+        old = self._version(name)
+        path = self._store(name, new, schema)  # the rows are computed once; what was there is not touched
+        self._point(name, Version([*old.paths, path], schema))
+        return self.spark.read.schema(schema).parquet(path).count()
 
     def update(self, name: str, values: dict[str, Column], where: Column | None = None) -> int:
+        """Set columns, or fields of structs by dotted names, where the condition is TRUE.  Returns the number of rows."""
         old, hit = self.read(name), F.coalesce(where if where is not None else F.lit(True), F.lit(False))
-        low = {c.lower(): v for c, v in values.items()}
+        known = {f.name.lower(): f for f in old.schema}
+        whole: dict[str, Column] = {}
+        for target, value in values.items():
+            first, _, path = target.lower().partition(".")
+            if first not in known:
+                raise ValueError(f"no such column: {target}")
+            field = known[first]
+            if not path:
+                whole[first] = value.cast(field.dataType)
+            else:
+                kind = _field_type(field.dataType, path, target)
+                whole[first] = whole.get(first, F.col(f"`{field.name}`")).withField(path, value.cast(kind))
         n = old.where(hit).count()
-        self._write(name, old.select(*[(F.when(hit, low[f.name.lower()].cast(f.dataType)).otherwise(F.col(f.name)) if f.name.lower() in low else F.col(f.name)).alias(f.name) for f in old.schema]))
+        self._write(name, old.select(*[(F.when(hit, whole[f.name.lower()]).otherwise(F.col(f"`{f.name}`")) if f.name.lower() in whole else F.col(f"`{f.name}`")).alias(f.name) for f in old.schema]))
         return n
 
     def delete(self, name: str, where: Column) -> int:
@@ -132,9 +153,15 @@ class TableStore:
         for i, c in reversed(list(enumerate(clauses))):
             fits = sides[c.kind] & F.coalesce(c.condition if c.condition is not None else F.lit(True), F.lit(False))
             chosen = F.when(fits, F.lit(i)).otherwise(chosen)
-        both = both.withColumn("_c", chosen)
+        # The join is computed once: the test for double matches and the new version read the same rows.
+        names = {**{("t", c): f"t{i}" for i, c in enumerate([*schema.names, "_t"])}, **{("s", c): f"s{i}" for i, c in enumerate([*source.columns, "_s"])}}
+        path = f"{self.folder}/{name.lower()}/merge-{uuid.uuid4().hex}"
+        both.withColumn("_c", chosen).select(*[F.col(f"{side}.`{c}`").alias(n) for (side, c), n in names.items()], "_c").write.parquet(path)
+        flat = self.spark.read.parquet(path)
+        fields = lambda side: F.struct(*[F.col(n).alias(c) for (x, c), n in names.items() if x == side]).alias(side)
+        both = flat.select(fields("t"), fields("s"), "_c")
         changed = both.where("_c >= 0").where(has_t & has_s)
-        if not changed.groupBy("t._t").count().where("count > 1").isEmpty():
+        if not changed.groupBy(F.col("t._t")).count().where("count > 1").isEmpty():
             raise ValueError("MERGE: a target row matches more than one source row")
         acts = {a: [i for i, c in enumerate(clauses) if c.action == a] for a in ("update", "delete", "insert")}
         keep = (has_t & ~F.col("_c").isin(acts["delete"] or [-2])) | F.col("_c").isin(acts["insert"] or [-2])
@@ -152,10 +179,16 @@ class TableStore:
         # An unmatched side can repeat a kept target row only when it matched several source rows that change nothing.
         rows = both.where(keep).withColumn("_n", F.when(has_t, F.row_number().over(_per_row())).otherwise(1)).where("_n = 1")
         self._write(name, rows.select(*[column(f) for f in schema]))
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     # Changing tables
 
-    def add_column(self, name: str, column: str, kind: str, default: Column | None = None) -> None:
+    def add_column(self, name: str, column: str, kind: str, default: Column | None = None, if_not_exists: bool = False) -> None:
+        if column.lower() in {c.lower() for c in self._version(name).schema.names}:
+            if if_not_exists:
+                return
+            raise ValueError(f"column {column} exists")
         self._write(name, self.read(name).withColumn(column, (default if default is not None else F.lit(None)).cast(kind)))
 
     def drop_column(self, name: str, column: str) -> None:
@@ -167,13 +200,42 @@ class TableStore:
     def alter_type(self, name: str, column: str, kind: str) -> None:
         self._write(name, self.read(name).withColumn(column, F.col(column).cast(kind)))
 
+    def require(self, name: str, column: str, required: bool) -> None:
+        """SET or DROP NOT NULL; rows that are there must comply."""
+        self._column(name, column)
+        own = self.required.setdefault(name.lower(), set())
+        if required:
+            if not self.read(name).where(F.col(f"`{column}`").isNull()).isEmpty():
+                raise ValueError(f"column {column} holds nulls")
+            own.add(column.lower())
+        else:
+            own.discard(column.lower())
+
+    def set_default(self, name: str, column: str, default: Column | None) -> None:
+        self._column(name, column)
+        own = self.defaults.setdefault(name.lower(), {})
+        own.pop(column.lower(), None)
+        if default is not None:
+            own[column.lower()] = default
+
+    def _column(self, name: str, column: str) -> None:
+        if column.lower() not in {c.lower() for c in self._version(name).schema.names}:
+            raise ValueError(f"no such column: {column}")
+
     def rename(self, name: str, new: str) -> None:
+        for kept in (self.required, self.defaults):
+            if name.lower() in kept:
+                kept[new.lower()] = kept.pop(name.lower())
         self.tables[new.lower()] = self.tables.pop(name.lower())
         self.spark.catalog.dropTempView(name)
         self.read(new).createOrReplaceTempView(new)
 
-    def snapshot(self, name: str, of: str) -> None:
+    def snapshot(self, name: str, of: str, if_not_exists: bool = False) -> None:
         """A table that shows another as it is now; versions are immutable, so nothing is copied."""
+        if name.lower() in self.tables:
+            if if_not_exists:
+                return
+            raise ValueError(f"table {name} exists")
         self.tables[name.lower()] = self._version(of)
         self.read(name).createOrReplaceTempView(name)
 
@@ -191,6 +253,15 @@ class TableStore:
             self.read(name).createOrReplaceTempView(name)
 
 
+def _field_type(kind, path: str, target: str):
+    for part in path.split("."):
+        inner = {f.name.lower(): f.dataType for f in kind} if isinstance(kind, StructType) else {}
+        if part not in inner:
+            raise ValueError(f"no such field: {target}")
+        kind = inner[part]
+    return kind
+
+
 def _per_row():
     from pyspark.sql import Window
 
