@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import math
 import re
+import struct
+from fractions import Fraction
 
 RADIUS = 6371008.7714  #: metres, the mean radius of the Earth
+DEGREE = 111320.0  #: metres to a degree
 _TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION")
 _GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
 
@@ -23,7 +26,8 @@ def parse(wkt: str) -> tuple[str, list]:
         return kind, []
     if kind == "GEOMETRYCOLLECTION":
         return kind, [parse(p) for p in re.findall(r"[A-Za-z]+\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", m[2][1:-1])]
-    listed = re.sub(r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)", r"[\1,\2]", m[2]).replace("(", "[").replace(")", "]")
+    pair = lambda p: f"[{float(p[1])},{float(p[2])}]"
+    listed = re.sub(r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)", pair, m[2]).replace("(", "[").replace(")", "]")
     coords = json.loads(listed)
     if kind == "POINT":
         return kind, [tuple(coords[0])]
@@ -87,8 +91,8 @@ def arc(a: Point, b: Point) -> float:
     return 2 * RADIUS * math.asin(min(1.0, math.sqrt(h)))
 
 
-def _to_segment(p: Point, a: Point, b: Point) -> Point:
-    scale = math.cos(math.radians(p[1]))
+def _to_segment(p: Point, a: Point, b: Point, scale: float | None = None) -> Point:
+    scale = math.cos(math.radians(p[1])) if scale is None else scale
     ax, ay, bx, by = (a[0] - p[0]) * scale, a[1] - p[1], (b[0] - p[0]) * scale, b[1] - p[1]
     dx, dy = bx - ax, by - ay
     t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
@@ -148,6 +152,8 @@ def st_measure2(a: str, b: str, what: str) -> float:
         return max(arc(p, q) for p in points(g) for q in points(h))
     if what == "intersects":
         return float(intersects(g, h))
+    if what == "touches":
+        return float(intersects(g, h) and not _interiors_meet(g, h))
     if what == "equals":
         return float(g == h or (g[0] == h[0] and set(points(g)) == set(points(h))))
     if rings(g):
@@ -212,7 +218,7 @@ def st_text(a: str, what: str) -> str | None:
         deep = lambda x: list(x) if isinstance(x, tuple) else [deep(y) for y in x]
         return json.dumps({"type": name, "coordinates": deep(g[1][0] if g[0] == "POINT" else g[1])})
     if what == "type":
-        return "ST_" + {t: n for t, n in zip(_TYPES, ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection"))}[g[0]]
+        return {t: n for t, n in zip(_TYPES, ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection"))}[g[0]]
     if not ps:
         return None
     if what in ("start", "end"):
@@ -269,8 +275,209 @@ def st_from_geohash(s: str) -> str:
     return write("POINT", [(sum(box[0]) / 2, sum(box[1]) / 2)])
 
 
+def _winding(ring: list) -> Fraction:
+    """Twice the signed area of a closed ring; positive if counter-clockwise."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+
+
+def _directed(g) -> list:
+    """Exact edges of the polygons of ``g`` with the inside on their left."""
+    out = []
+    for poly in g[1] if g[0] == "MULTIPOLYGON" else [g[1]]:
+        for n, ring in enumerate(poly):
+            exact = [(Fraction(x), Fraction(y)) for x, y in ring]
+            if (_winding(exact) > 0) != (n == 0):
+                exact.reverse()
+            out += [(a, b) for a, b in zip(exact, exact[1:]) if a != b]
+    return out
+
+
+def _cut(edges: list, by: list) -> list:
+    """Edges split wherever an edge of ``by`` meets them."""
+    out = []
+    for a, b in edges:
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        along = lambda p: (p[0] - a[0]) * dx + (p[1] - a[1]) * dy  # noqa: B023, E731
+        at = {a, b}
+        for c, d in by:
+            ex, ey = d[0] - c[0], d[1] - c[1]
+            cross = dx * ey - dy * ex
+            if cross:
+                t, u = ((c[0] - a[0]) * ey - (c[1] - a[1]) * ex) / cross, ((c[0] - a[0]) * dy - (c[1] - a[1]) * dx) / cross
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    at.add((a[0] + t * dx, a[1] + t * dy))
+            elif (c[0] - a[0]) * dy == (c[1] - a[1]) * dx:
+                at |= {p for p in (c, d) if 0 <= along(p) <= dx * dx + dy * dy}
+        ordered = sorted(at, key=along)
+        out += list(zip(ordered, ordered[1:]))
+    return out
+
+
+def _within(p, edges: list) -> bool:
+    """Whether a point that is on no edge lies inside, by crossings to its right."""
+    hits = [p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges if (a[1] > p[1]) != (b[1] > p[1])]
+    return sum(hits) % 2 == 1
+
+
+def _sides(parts: list, other: list, edges: list) -> dict:
+    """Cut edges by where they run: inside the other, outside, along it, or along it the other way."""
+    out: dict[str, list] = {"in": [], "out": [], "same": [], "against": []}
+    there = set(other)
+    for a, b in parts:
+        middle = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+        where = "same" if (a, b) in there else "against" if (b, a) in there else "in" if _within(middle, edges) else "out"
+        out[where].append((a, b))
+    return out
+
+
+def _stitched(edges: list) -> list:
+    """Closed rings of directed edges, turning left as far as possible, so that rings that touch stay apart."""
+    leaving: dict = {}
+    for a, b in edges:
+        leaving.setdefault(a, []).append(b)
+    out = []
+    while leaving:
+        start = next(iter(leaving))
+        ring = [start]
+        while len(ring) == 1 or ring[-1] != start:
+            here = ring[-1]
+            heading = math.atan2(here[1] - ring[-2][1], here[0] - ring[-2][0]) if len(ring) > 1 else 0.0
+            turn = lambda p: (math.atan2(p[1] - here[1], p[0] - here[0]) - heading + math.pi) % (2 * math.pi)  # noqa: B023, E731
+            ring.append(max(leaving[here], key=turn))
+            leaving[here].remove(ring[-1])
+            if not leaving[here]:
+                del leaving[here]
+        out.append(ring)
+    return out
+
+
+def combine(g, h, what: str) -> list:
+    """The polygons of a union, intersection or difference of polygons in the plane, on exact fractions."""
+    if any("POLYGON" not in x[0] for x in (g, h)):
+        raise ValueError(f"ST_{what.upper()} takes polygons")
+    e, f = _directed(g), _directed(h)
+    p, q = _cut(e, f), _cut(f, e)
+    a, b = _sides(p, q, f), _sides(q, p, e)
+    back = [(y, x) for x, y in b["in"]]
+    rings_ = _stitched({"union": a["out"] + b["out"] + a["same"], "intersection": a["in"] + b["in"] + a["same"], "difference": a["out"] + back + a["against"]}[what])
+    outer = [[r] for r in rings_ if _winding(r) > 0]
+    for hole in (r for r in rings_ if _winding(r) < 0):
+        x, y = ((hole[0][i] + hole[1][i]) / 2 for i in (0, 1))
+        holder = [o for o in outer if _within((x, y), list(zip(o[0], o[0][1:])))]
+        if holder:
+            min(holder, key=lambda o: _winding(o[0])).append(hole)
+    return [[[(float(x), float(y)) for x, y in r] for r in poly] for poly in outer]
+
+
+def _ends(g) -> set:
+    """The boundary points of lines."""
+    return {p for line in lines(g) if line and line[0] != line[-1] for p in (line[0], line[-1])}
+
+
+def _interiors_meet(g, h) -> bool:
+    if rings(h) and not rings(g):
+        g, h = h, g
+    if rings(g):
+        if rings(h):
+            return bool(combine(g, h, "intersection"))
+        edges = _directed(g)
+        exact = [((Fraction(a[0]), Fraction(a[1])), (Fraction(b[0]), Fraction(b[1]))) for a, b in _segments(h) if a != b]
+        if not lines(h):
+            spots = [(Fraction(x), Fraction(y)) for x, y in points(h)]
+        else:
+            spots = [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in _cut(exact, edges)]
+        on = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) == (b[1] - a[1]) * (p[0] - a[0]) and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+        return any(_within(p, edges) and not any(on(p, *s) for s in edges) for p in spots)
+    ends = _ends(g) | _ends(h)
+    if not lines(g) or not lines(h):
+        return any(p not in ends for p in points(g if not lines(g) else h))
+    exact = [[((Fraction(a[0]), Fraction(a[1])), (Fraction(b[0]), Fraction(b[1]))) for a, b in _segments(x) if a != b] for x in (g, h)]
+    p, q = _cut(*exact), _cut(*exact[::-1])
+    met = {x for s in p for x in s} & {x for s in q for x in s}
+    return any((s in q) or (s[::-1] in q) for s in p) or any((float(x), float(y)) not in ends for x, y in met)
+
+
+def thinned(line: list[Point], least: float, keep: int) -> list[Point]:
+    """A line without the points whose triangles with their neighbours are at most ``least``, smallest first (Visvalingam)."""
+    line = list(line)
+    while len(line) > keep:
+        areas = [abs((b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])) / 2 for a, b, c in zip(line, line[1:], line[2:])]
+        if min(areas) > least:
+            break
+        del line[areas.index(min(areas)) + 1]
+    return line
+
+
+def st_shape(a: str, by: float, what: str) -> str:
+    """ST_SIMPLIFY (metres), ST_SNAPTOGRID (degrees) and ST_BUFFER (metres; the hull of circles of 32 corners around the points)."""
+    g = parse(a)
+    if what == "simplify":
+        if g[0] == "LINESTRING":
+            return write(g[0], thinned(g[1], by / DEGREE, 2))
+        return write(g[0], [thinned(g[1][0], by / DEGREE, 4)]) if g[0] == "POLYGON" and g[1] else a
+    if what == "snap":
+        snap = lambda x: tuple(round(round(v / by) * by, 12) for v in x) if isinstance(x, tuple) else [snap(y) for y in x]
+        return write(g[0], snap(g[1]))
+    corners = [(math.cos(2 * math.pi * i / 32), math.sin(2 * math.pi * i / 32)) for i in range(32)]
+    around = [(x + by / DEGREE / max(math.cos(math.radians(y)), 1e-9) * u, y + by / DEGREE * v) for x, y in points(g) for u, v in corners]
+    h = hull(around)
+    return write("POLYGON", [[*h, h[0]]]) if len(h) > 2 else "POLYGON EMPTY"
+
+
+def st_combine(a: str, b: str, what: str) -> str | None:
+    g, h = parse(a), parse(b)
+    if what != "closest":
+        return write("MULTIPOLYGON", combine(g, h, what))
+    if not points(g) or not points(h):
+        return None
+    p = points(h)[0]
+    if inside(p, g):
+        return write("POINT", [p])
+    near = [_to_segment(p, *s, scale=1.0) for s in _segments(g)] or points(g)
+    return write("POINT", [min(near, key=lambda q: (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2)])
+
+
+def st_line(wkts) -> str:
+    """A line through the points of all geometries of an array."""
+    return write("LINESTRING", [p for a in wkts for p in points(parse(a))])
+
+
+def st_from_wkb(data: bytes) -> str:
+    """WKT of well-known binary, or of what ST_ASBINARY gives: the bytes of the text."""
+    if data[0] > 1:
+        return st_parse(data.decode())
+    at = 0
+
+    def take(form: str, order: str):
+        nonlocal at
+        out = struct.unpack_from(order + form, data, at)
+        at += struct.calcsize("=" + form)
+        return out
+
+    def get() -> tuple[str, list]:
+        order = "<" if take("B", "<")[0] else ">"
+        kind = _TYPES[take("I", order)[0] - 1]
+        row = lambda: [take("dd", order) for _ in range(take("I", order)[0])]
+        if kind == "POINT":
+            p = take("dd", order)
+            return kind, [] if math.isnan(p[0]) else [p]
+        if kind == "LINESTRING":
+            return kind, row()
+        n = take("I", order)[0]
+        if kind == "POLYGON":
+            return kind, [row() for _ in range(n)]
+        parts = [get() for _ in range(n)]
+        return kind, parts if kind == "GEOMETRYCOLLECTION" else [p[1][0] if kind == "MULTIPOINT" else p[1] for p in parts]
+
+    kind, coords = get()
+    if kind == "GEOMETRYCOLLECTION":
+        return f"{kind}({', '.join(write(*c) for c in coords)})" if coords else f"{kind} EMPTY"
+    return write(kind, coords)
+
+
 #: (name, result type, function) of what is callable from SQL.
 FUNCTIONS = [
     ("st_parse", "string", st_parse), ("st_distance", "double", st_distance), ("st_measure2", "double", st_measure2), ("st_number", "double", st_number),
     ("st_text", "string", st_text), ("st_pointn", "string", st_pointn), ("st_make2", "string", st_make2), ("st_geohash", "string", st_geohash), ("st_from_geohash", "string", st_from_geohash),
+    ("st_shape", "string", st_shape), ("st_combine", "string", st_combine), ("st_line", "string", st_line), ("st_from_wkb", "string", st_from_wkb),
 ]

@@ -42,6 +42,33 @@ def _quoted(delimiter: str) -> str:
     return f"concat('\\\\Q', {delimiter}, '\\\\E')"
 
 
+def formatted(args: list[str]) -> str:
+    """FORMAT by ``format_string``; in a literal format %t is a value as text, %T as a literal, and %'d groups digits."""
+    if not args[0].startswith("'"):
+        return f"format_string({', '.join(args)})"
+    values, n = list(args), 0
+
+    def element(m: re.Match) -> str:
+        nonlocal n
+        flags, kind = m[1].replace("\\'", ",").replace("'", ","), m[2]
+        if kind == "%":
+            return "%%"
+        n += 1 + flags.count("*")
+        if kind not in "tT":
+            return f"%{flags}{kind}"
+        x = args[n]
+        text = f"CAST({x} AS STRING)"
+        if kind == "T":
+            quoted = "concat('\"', " + text + ", '\"')"
+            named = " ".join(f"WHEN '{t}' THEN concat('{d} ', {quoted})" for t, d in (("date", "DATE"), ("timestamp", "TIMESTAMP"), ("timestamp_ntz", "DATETIME")))
+            text = f"CASE typeof({x}) WHEN 'string' THEN {quoted} {named} ELSE {text} END"
+        values[n] = f"coalesce({text}, 'NULL')"
+        return f"%{flags}s"
+
+    values[0] = re.sub(r"%((?:\\'|[-+ #0-9.*'])*)([a-zA-Z%])", element, args[0])
+    return f"format_string({', '.join(values)})"
+
+
 STRING: dict[str, Template] = {
     "CHARACTER_LENGTH": "char_length({0})",
     "LENGTH": "length({0})",
@@ -61,7 +88,7 @@ STRING: dict[str, Template] = {
         a4="CAST(aggregate(sequence(1, {3}), {2} - 1, (p, k) -> IF(p < 0, p, locate({1}, {0}, CAST(p + 1 AS INT)) - IF(locate({1}, {0}, CAST(p + 1 AS INT)) = 0, 1, 0)), p -> greatest(p, 0)) AS BIGINT)",
     ),
     "SPLIT": _n(a1="split({0}, ',')", a2=f"IF({{1}} = '', filter(split({{0}}, ''), c -> c <> ''), split({{0}}, {_quoted('{1}')}))"),
-    "FORMAT": "format_string({*})",
+    "FORMAT": lambda a: formatted(a),
     "INITCAP": _n(a1="initcap({0})", a2="array_join(transform(split({0}, '(?<=[' || {1} || '])'), w -> concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))), '')"),
     "LPAD": _n(a2="lpad({0}, {1})", a3="lpad({0}, {1}, {2})"),
     "RPAD": _n(a2="rpad({0}, {1})", a3="rpad({0}, {1}, {2})"),
@@ -265,7 +292,19 @@ GEOGRAPHY: dict[str, Template] = {
     "ST_DISTANCE": "basalt_st_distance({0}, {1})",
     "ST_DWITHIN": "(basalt_st_distance({0}, {1}) <= {2})",
     "ST_MAXDISTANCE": "basalt_st_measure2({0}, {1}, 'maxdistance')",
-    "ST_MAKELINE": "basalt_st_make2({0}, {1}, 'line')",
+    "ST_MAKELINE": _n(a1="basalt_st_line({0})", a2="basalt_st_make2({0}, {1}, 'line')"),
+    "ST_MAKEPOLYGON": "if(startswith({0}, 'LINESTRING('), concat('POLYGON(', substring({0}, 11), ')'), {0})",
+    "ST_ASBINARY": "encode({0}, 'UTF-8')",
+    "ST_GEOGFROMWKB": "basalt_st_from_wkb({0})",
+    "ST_SIMPLIFY": "basalt_st_shape({0}, CAST({1} AS DOUBLE), 'simplify')",
+    "ST_SNAPTOGRID": "basalt_st_shape({0}, CAST({1} AS DOUBLE), 'snap')",
+    "ST_BUFFER": "basalt_st_shape({0}, CAST({1} AS DOUBLE), 'buffer')",
+    "ST_BUFFERWITHTOLERANCE": "basalt_st_shape({0}, CAST({1} AS DOUBLE), 'buffer')",
+    "ST_CLOSESTPOINT": "basalt_st_combine({0}, {1}, 'closest')",
+    "ST_UNION": "basalt_st_combine({0}, {1}, 'union')",
+    "ST_INTERSECTION": "basalt_st_combine({0}, {1}, 'intersection')",
+    "ST_DIFFERENCE": "basalt_st_combine({0}, {1}, 'difference')",
+    "ST_TOUCHES": "(basalt_st_measure2({0}, {1}, 'touches') = 1)",
     "ST_GEOHASH": _n(a1="basalt_st_geohash({0}, 20)", a2="basalt_st_geohash({0}, CAST({1} AS INT))"),
     "ST_GEOGPOINTFROMGEOHASH": "basalt_st_from_geohash({0})",
     "ST_ASGEOJSON": "basalt_st_text({0}, 'geojson')",

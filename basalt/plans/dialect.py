@@ -94,7 +94,16 @@ d("fn_ranges", "SELECT o_orderkey, RANGE_CONTAINS(RANGE<DATE> '[1995-01-01, 1997
 d("fn_intervals", "SELECT n_nationkey, JUSTIFY_DAYS(MAKE_INTERVAL(0, 0, 30 + n_nationkey, 0, 0, 0)).months AS a, JUSTIFY_DAYS(MAKE_INTERVAL(0, 0, 30 + n_nationkey, 0, 0, 0)).days AS b, JUSTIFY_HOURS(MAKE_INTERVAL(0, 0, 0, 25, 0, 0)).days AS c FROM {nation}", "SELECT n_nationkey, 1::BIGINT AS a, CAST(n_nationkey AS BIGINT) AS b, 1::BIGINT AS c FROM nation")
 d("fn_geography", """SELECT n_nationkey, ROUND(ST_DISTANCE(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(n_nationkey, 0)), 1) AS a, ST_X(ST_GEOGPOINT(n_nationkey, 2)) AS b, ST_Y(ST_GEOGPOINT(1, n_nationkey)) AS c, ST_CONTAINS(ST_GEOGFROMTEXT('POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))'), ST_GEOGPOINT(n_nationkey, 5)) AS e,
 ST_DWITHIN(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(0, n_nationkey), 500000) AS f, ST_NUMPOINTS('LINESTRING(0 0, 1 1, 2 2)') AS g, ST_ASTEXT(ST_CENTROID('POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))')) AS h, ST_GEOMETRYTYPE('POINT(1 2)') AS i, ST_DIMENSION('LINESTRING(0 0, 1 1)') AS j FROM {nation}""",
-"""SELECT n_nationkey, round(radians(n_nationkey) * 6371008.7714, 1) AS a, CAST(n_nationkey AS DOUBLE) AS b, CAST(n_nationkey AS DOUBLE) AS c, n_nationkey <= 10 AS e, radians(n_nationkey) * 6371008.7714 <= 500000 AS f, 3::BIGINT AS g, 'POINT(1 1)' AS h, 'ST_Point' AS i, 1::BIGINT AS j FROM nation""")
+"""SELECT n_nationkey, round(radians(n_nationkey) * 6371008.7714, 1) AS a, CAST(n_nationkey AS DOUBLE) AS b, CAST(n_nationkey AS DOUBLE) AS c, n_nationkey <= 10 AS e, radians(n_nationkey) * 6371008.7714 <= 500000 AS f, 3::BIGINT AS g, 'POINT(1 1)' AS h, 'Point' AS i, 1::BIGINT AS j FROM nation""")
+
+d("fn_geography_shapes", """SELECT p_partkey, ST_ASTEXT(ST_SNAPTOGRID(ST_GEOGPOINT(MOD(p_partkey, 90) + 0.26, 1.5), 0.5)) AS a, ST_TOUCHES('POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))', ST_GEOGPOINT(MOD(p_partkey, 20), 5)) AS b,
+ST_X(ST_CLOSESTPOINT('LINESTRING(0 0, 10 0)', ST_GEOGPOINT(MOD(p_partkey, 20), 3))) AS c, ST_ISEMPTY(ST_INTERSECTION('POLYGON((5 0, 9 0, 9 1, 5 1, 5 0))', ST_BOUNDINGBOX(ST_MAKELINE(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(1 + MOD(p_partkey, 20), 1))))) AS e,
+LENGTH(ST_ASBINARY(ST_GEOGPOINT(MOD(p_partkey, 7), 1))) AS f, ST_NUMPOINTS(ST_SIMPLIFY(CONCAT('LINESTRING(0 0, 1 ', CAST(MOD(p_partkey, 3) AS STRING), ', 2 0)'), 1000)) AS g FROM {part}""",
+"""SELECT p_partkey, concat('POINT(', p_partkey % 90, '.5 1.5)') AS a, p_partkey % 20 IN (0, 10) AS b, CAST(least(p_partkey % 20, 10) AS DOUBLE) AS c, 1 + p_partkey % 20 <= 5 AS e, length(concat('POINT(', p_partkey % 7, ' 1)'))::INTEGER AS f, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 3 END::BIGINT AS g FROM part""")
+d("any_and_all_of_a_list", "SELECT l_orderkey, l_linenumber, l_quantity + 1 = ANY (2, 3, 50) AS a, l_quantity > ALL (10, l_linenumber) AS b, NULLIF(l_linenumber, 1) = ANY (2, 3) AS c FROM {lineitem} WHERE l_suppkey <> ALL (1, 2) AND l_partkey = ANY (SELECT l_partkey FROM {lineitem} WHERE l_linenumber = 2)",
+"SELECT l_orderkey, l_linenumber, l_quantity + 1 IN (2, 3, 50) AS a, l_quantity > 10 AND l_quantity > l_linenumber AS b, nullif(l_linenumber, 1) IN (2, 3) AS c FROM lineitem WHERE l_suppkey NOT IN (1, 2) AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 2)")
+d("fn_format_values", "SELECT o_orderkey, FORMAT('%t|%T', o_orderkey, o_orderpriority) AS a, FORMAT('%T', DATE(o_orderdate)) AS b, FORMAT(\"%'d\", o_orderkey * 1000) AS c FROM {orders}",
+"SELECT o_orderkey, concat(o_orderkey, '|\"', o_orderpriority, '\"') AS a, concat('DATE \"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '\"') AS b, format('{:,}', o_orderkey * 1000) AS c FROM orders")
 
 # Aggregates under the dialect's names
 d("dialect_aggregates", "SELECT event_type, COUNTIF(value > 0) AS a, LOGICAL_AND(value > -1000) AS b, LOGICAL_OR(value > 1000000) AS c, APPROX_COUNT_DISTINCT(user_id) AS e, ROUND(APPROX_QUANTILES(value, 4)[OFFSET(2)], 6) AS f, ROUND(SUMIF(value, user_id > 5), 4) AS g, ROUND(VAR_SAMP(value), 5) AS h, ROUND(STDDEV_POP(value), 6) AS i FROM {events} GROUP BY event_type",
