@@ -105,6 +105,9 @@ d("any_and_all_of_a_list", "SELECT l_orderkey, l_linenumber, l_quantity + 1 = AN
 d("fn_format_values", "SELECT o_orderkey, FORMAT('%t|%T', o_orderkey, o_orderpriority) AS a, FORMAT('%T', DATE(o_orderdate)) AS b, FORMAT(\"%'d\", o_orderkey * 1000) AS c FROM {orders}",
 "SELECT o_orderkey, concat(o_orderkey, '|\"', o_orderpriority, '\"') AS a, concat('DATE \"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '\"') AS b, format('{:,}', o_orderkey * 1000) AS c FROM orders")
 
+d("dialect_recursive_union_distinct", "WITH RECURSIVE halves AS (SELECT c_custkey AS k, c_nationkey AS n FROM {customer} UNION DISTINCT SELECT DIV(k, 2), n FROM halves WHERE k > 0) SELECT n, COUNT(*) AS c, SUM(k) AS s FROM halves GROUP BY n",
+"WITH RECURSIVE halves AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_nationkey AS n FROM customer UNION SELECT k // 2, n FROM halves WHERE k > 0) SELECT n, count(*) AS c, CAST(sum(k) AS BIGINT) AS s FROM halves GROUP BY n")
+
 # Aggregates under the dialect's names
 d("dialect_aggregates", "SELECT event_type, COUNTIF(value > 0) AS a, LOGICAL_AND(value > -1000) AS b, LOGICAL_OR(value > 1000000) AS c, APPROX_COUNT_DISTINCT(user_id) AS e, ROUND(APPROX_QUANTILES(value, 4)[OFFSET(2)], 6) AS f, ROUND(SUMIF(value, user_id > 5), 4) AS g, ROUND(VAR_SAMP(value), 5) AS h, ROUND(STDDEV_POP(value), 6) AS i FROM {events} GROUP BY event_type",
 "SELECT event_type, CAST(count_if(value > 0) AS BIGINT) AS a, bool_and(value > -1000) AS b, bool_or(value > 1000000) AS c, count(DISTINCT user_id) AS e, round(quantile_cont(value, 0.5), 6) AS f, round(sum(value) FILTER (WHERE user_id > 5), 4) AS g, round(var_samp(value), 5) AS h, round(stddev_pop(value), 6) AS i FROM events GROUP BY event_type")
