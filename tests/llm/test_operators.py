@@ -99,6 +99,19 @@ def test_near_duplicates_pivots_find_members_between(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()) == components(made, 85)
 
 
+def test_crowd_pairs_of_differences_are_similar(spark, monkeypatch):
+    """A long list hands on similar pairs only, however many share a difference, and loses no link."""
+    monkeypatch.setattr(setjoin, "LIST", 1)
+    rng = random.Random(11)
+    sets = [set(range(200))] + [set(range(200)) - set(rng.sample(range(200), rng.choice([5, 15, 30, 45]))) for _ in range(80)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, toks array<long>")
+    similar = {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if 100 * len(x & y) >= 80 * len(x | y)}
+    got = {(r.a, r.b) for r in setjoin.crowd_pairs(df, 80).collect()}
+    assert got <= similar
+    of = lambda pairs: {r.node: r.root for r in connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert of(got) == of(similar)
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(docs, rows):
     kept = minhash.drop_near_duplicates(docs, 80)
     assert kept.columns == docs.columns
