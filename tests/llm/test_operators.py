@@ -142,6 +142,15 @@ def test_connected_components(spark):
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_line_dedup_posts_no_common_tokens_among_many_rare_ones(spark, monkeypatch):
+    """A phrase of five lines is told from single ones, however many of these share its bucket."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 64)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1, raising=False)
+    made = [(i, " ".join([f"p{i // 5}a p{i // 5}b p{i // 5}c p{i // 5}d p{i // 5}e", *(f"w{i}x{j}" for j in range(100))])) for i in range(150)]
+    lines = line_dedup._occurrences(spark.createDataFrame(made, "doc_id long, text string"))
+    assert line_dedup._postings(lines.where("lk IS NOT NULL")).count() == 0
+
+
 @pytest.mark.parametrize("limit", [2, 32])
 def test_line_dedup(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(setjoin, "LIST", limit)
