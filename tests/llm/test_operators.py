@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.llm import ann, decontaminate, hilbert, license_scan, line_dedup, minhash, mixing, pii, quality, setjoin, toxicity
+from basalt.llm import ann, common, decontaminate, hilbert, license_scan, line_dedup, minhash, mixing, pii, quality, setjoin, toxicity
 from basalt.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +112,34 @@ def test_crowd_pairs_of_differences_are_similar(spark, monkeypatch):
     assert of(got) == of(similar)
 
 
+def _exchanges(module, monkeypatch):
+    """Counts of the exchanges by a key in each table that ``module`` writes, filled in as it writes them."""
+    seen, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")), write(df))[1])
+    return seen
+
+
+def test_crowd_pairs_of_few_tokens_need_no_exchange(spark, monkeypatch):
+    """Rounds over few rows would cost a task per shuffle partition and exchange; the pairs are those of the long way."""
+    monkeypatch.setattr(setjoin, "LIST", 2)
+    monkeypatch.setattr(setjoin, "PAIRS", 60)
+    rng = random.Random(12)
+    sets = [set(range(200))] + [set(range(200)) - set(rng.sample(range(200), rng.choice([5, 15, 30, 45]))) for _ in range(30)]
+    df = common.materialize(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, toks array<long>"))
+    seen = _exchanges(setjoin, monkeypatch)
+    got = {(r.a, r.b) for r in setjoin.crowd_pairs(df, 80).collect()}
+    assert len(seen) > 12 and not any(seen[:-1])  # at last all pairs are put together
+    for limits in ({"FEW_PAIRS": -1}, {"ONE_TASK": -1}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(setjoin, k, v)
+            if "ONE_TASK" in limits:
+                m.setattr(common, "ONE_TASK", -1)
+            seen.clear()
+            assert got == {(r.a, r.b) for r in setjoin.crowd_pairs(df, 80).collect()}
+            assert any(seen[:-1])
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(docs, rows):
     kept = minhash.drop_near_duplicates(docs, 80)
     assert kept.columns == docs.columns
