@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.llm import ann, common, decontaminate, hilbert, license_scan, line_dedup, minhash, mixing, pii, quality, setjoin, toxicity
+from basalt.llm import components as components_
 from basalt.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -140,6 +141,16 @@ def test_crowd_pairs_of_few_tokens_need_no_exchange(spark, monkeypatch):
             assert any(seen[:-1])
 
 
+def test_connected_components_of_few_edges_need_no_exchange(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(30)], "a long, b long")
+    seen = _exchanges(components_, monkeypatch)
+    got = sorted(connected_components(edges).collect())
+    assert len(seen) > 2 and not any(seen[1:])  # the edges as they come are put together first
+    monkeypatch.setattr(common, "ONE_TASK", -1)
+    assert got == sorted(connected_components(edges).collect())
+    assert seen[-1] > 0
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(docs, rows):
     kept = minhash.drop_near_duplicates(docs, 80)
     assert kept.columns == docs.columns
