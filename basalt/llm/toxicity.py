@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import labelled_sample, remainder
+from basalt.llm.common import learnt, remainder
 from basalt.llm.textkit import MARKS, blocks, located_words, shingle_hashes, text_buffer, word_hashes
 
 SAMPLE = 6000  #: labelled documents the model is fitted on, at most
@@ -238,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     empty; a wordless text gets the score of a text without toxic tokens.  Repeated rows are scored alike.  No labels:
     score 0.  Empty input gives an empty result; other columns are never read.
     """
-    model = train_chain(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), parts) != held, sample))
+    model = learnt(train_chain, docs, labels, "toxic", remainder(F.col("doc_id"), parts) != held, sample)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def score(batches):
@@ -254,7 +254,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, all columns as they are, judged in the pass that copies them."""
-    model = train_chain(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), 5) != 0, sample))
+    model = learnt(train_chain, docs, labels, "toxic", remainder(F.col("doc_id"), 5) != 0, sample)
     at = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -158,6 +159,22 @@ def test_drop_near_duplicates_keeps_one_of_each_group(docs, rows):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_near_duplicates_join_few_groups_without_exchange(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 40 * 100 + j}" for j in range(30))) for i in range(120)], "doc_id long, text string").repartition(2).cache()
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = minhash.near_duplicates(docs)
+        # A file for each task that wrote; an exchange before would have made twelve.
+        assert len(found.inputFiles()) <= 2
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 40 for i in range(120)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_match_threshold_is_safe():
     for percent in (80, 85, 95):
         t, p = minhash.match_threshold(percent), percent / 100
@@ -465,6 +482,25 @@ def test_models_on_odd_input(docs, rows, no_docs, spark):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_chain_is_trained_outside_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    learn, driver, train = common.remainder(F.col("doc_id"), 5) != 0, os.getpid(), toxicity.train_chain
+    want = train(common.labelled_sample(docs, labels, "toxic", learn, toxicity.SAMPLE))
+
+    def elsewhere(sample):
+        assert not sample or os.getpid() != driver
+        return train(sample)
+
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "train_chain", elsewhere)
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()} == scored
+    assert 0 < toxicity.drop_toxic(docs, labels).count() <= docs.count()
+    made = common.learnt(train, docs, labels, "toxic", learn, toxicity.SAMPLE)
+    assert made.prior == want.prior and made.layer == want.layer and made.trans == want.trans
+    assert np.array_equal(made.keys, want.keys) and np.array_equal(made.weights, want.weights)
+    assert common.learnt(train, docs.limit(0), labels, "toxic", learn, toxicity.SAMPLE).prior == 0.0
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(2)
     m = toxicity.ChainModel(np.zeros(0, np.uint32), np.zeros(0), bias=-0.3, trans=(0.0, -0.7, 0.4, 0.9), start=0.2)
