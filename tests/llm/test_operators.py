@@ -142,6 +142,20 @@ def test_crowd_pairs_of_few_tokens_need_no_exchange(spark, monkeypatch):
             assert any(seen[:-1])
 
 
+def test_small_rounds_of_a_large_crowd_need_no_exchange(spark, monkeypatch):
+    """Rounds over few sets stay in one task however large the join began, and give the same pairs."""
+    monkeypatch.setattr(setjoin, "LIST", 2)
+    monkeypatch.setattr(setjoin, "PAIRS", 60)
+    rng = random.Random(13)
+    sets = [set(range(200))] + [set(range(200)) - set(rng.sample(range(200), rng.choice([5, 15, 30, 45]))) for _ in range(30)]
+    df = common.materialize(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, toks array<long>"))
+    want = {(r.a, r.b) for r in setjoin.crowd_pairs(df, 80).collect()}
+    monkeypatch.setattr(setjoin, "ONE_TASK", 1000)  # the sets have more tokens together
+    seen = _exchanges(setjoin, monkeypatch)
+    assert want == {(r.a, r.b) for r in setjoin.crowd_pairs(df, 80).collect()}
+    assert len(seen) > 12 and not any(seen[:-1])
+
+
 def test_connected_components_of_few_edges_need_no_exchange(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(30)], "a long, b long")
     seen = _exchanges(components_, monkeypatch)
@@ -175,6 +189,33 @@ def test_near_duplicates_join_few_groups_without_exchange(spark):
             spark.conf.set(k, v)
 
 
+def test_rows_beyond_a_broadcast_are_sieved_before_the_shuffle(spark, monkeypatch):
+    """A join with more keys than may be broadcast shuffles few of the rows that have no partner, and is exact."""
+    df = spark.createDataFrame([(i if i % 7 else None, f"t{i % 50}") for i in range(3000)], "k long, text string")
+    wanted = spark.createDataFrame([(i, f"t{i % 50}") for i in range(1, 3000, 60)] + [(None, "t0")], "a long, b string")
+    pairs = {(r.a, r.b) for r in wanted.collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for anti in (False, True):
+        got = common.matched(df, [df["k"], df["text"]], wanted, ["a", "b"], len(pairs), anti)
+        assert got.columns == df.columns
+        assert Counter(map(tuple, got.collect())) == Counter(x for x in map(tuple, df.collect()) if (x in pairs) != anti)
+    maybe, other = common.sieved(df, [df["k"], df["text"]], wanted, ["a", "b"])
+    assert maybe.count() + other.count() == 3000 and maybe.count() < 150
+
+
+def test_drop_near_duplicates_shuffles_no_text_that_stays(docs, rows, monkeypatch):
+    """With more rows to drop than may be broadcast, those that surely stay pass by the shuffle; rows without an id are linked too."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kept = minhash.drop_near_duplicates(docs, 80)
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({i for i, _, low in components(rows, 80) if i == low})
+    words = [f"w{j}" for j in range(60)]
+    made = docs.sparkSession.createDataFrame([(5, " ".join(words)), (None, " ".join(words[:59]))], "doc_id long, text string")
+    for limit in (0, 10):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        assert [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(made).orderBy("doc_id").collect()] == [(None, 5, False), (5, 5, True)]
+
+
 def test_match_threshold_is_safe():
     for percent in (80, 85, 95):
         t, p = minhash.match_threshold(percent), percent / 100
