@@ -248,6 +248,24 @@ def test_line_dedup_posts_no_common_tokens_among_many_rare_ones(spark, monkeypat
     assert line_dedup._postings(lines.where("lk IS NOT NULL")).count() == 0
 
 
+def test_line_dedup_sends_one_row_to_the_driver(spark, monkeypatch):
+    """The counts by bucket reach the driver as one text, and are right."""
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1, raising=False)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 8)
+    lines = spark.createDataFrame([(i, 0, [3, 8 + i % 2, 100 + 8 * i]) for i in range(6)], "th long, ln int, toks array<int>")
+    fetched, collect = [], type(lines).collect
+
+    def watched(df):
+        fetched.append(collect(df))
+        return fetched[-1]
+
+    with monkeypatch.context() as m:
+        m.setattr(type(lines), "collect", watched)
+        counts = line_dedup._rarity(lines)
+    assert sum(map(len, fetched)) <= 1
+    assert spark.range(1).select(counts).first()[0] == [3, 3, 0, 6, 0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("limit", [2, 32])
 def test_line_dedup(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(setjoin, "LIST", limit)
