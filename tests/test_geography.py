@@ -4,8 +4,10 @@ import math
 import random
 import struct
 
+import pandas as pd
 import pytest
 
+from basalt.functions import udfs
 from basalt.functions.geo import parse, st_combine, st_from_wkb, st_line, st_measure2, st_shape
 
 
@@ -83,3 +85,19 @@ def test_binary_form():
     many = struct.pack("<BII", 1, 4, 2) + point("<", 1, 1, 2) + point("<", 1, 3, 4)
     assert st_from_wkb(many) == "MULTIPOINT(1 2, 3 4)"
     assert st_from_wkb(b"POINT(1 2)") == "POINT(1 2)"
+
+
+def test_functions_by_row_work_out_equal_rows_once(spark, monkeypatch):
+    """A large table of few different arguments costs their number, and equal values of different kinds stay apart."""
+    calls = []
+    f = udfs._vectorised("string", lambda a, b: (calls.append((a, b)), f"{a!r} {b!r}")[1]).func
+    monkeypatch.setattr(udfs, "KNOWN", 50)
+    a, b = [f"POINT({i % 20} 1)" for i in range(4000)], [0.5] * 4000
+    assert list(f(pd.Series(a), pd.Series(b))) == [f"{x!r} 0.5" for x in a]
+    assert len(calls) == 20
+    odd = [1, 1.0, True, 0.0, -0.0, None, float("nan"), [1], "x" * 1000]
+    for _ in range(2):
+        got = list(f(pd.Series(odd, dtype=object), pd.Series(["y"] * len(odd))))
+        assert got == [None if x is None or x != x else f"{x!r} 'y'" for x in odd]
+    many = [str(i) for i in range(500)]
+    assert list(f(pd.Series(many), pd.Series(many))) == [f"{x!r} {x!r}" for x in many]
