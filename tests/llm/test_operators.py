@@ -266,6 +266,25 @@ def test_line_dedup_sends_one_row_to_the_driver(spark, monkeypatch):
     assert spark.range(1).select(counts).first()[0] == [3, 3, 0, 6, 0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("rows", [0, 100])
+def test_line_dedup_shuffles_sets_of_paired_lines_only(spark, monkeypatch, rows):
+    """Sets of lines without a partner are dropped before the shuffle, by a broadcast or by the sieve."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    text = " ".join(f"w{i}" for i in range(30))
+    made = [(0, text), (1, text + " more"), *((i, " ".join(f"u{i}x{j}" for j in range(9))) for i in range(2, 60))]
+    left, matched = [], common.matched
+
+    def watched(*args, **kw):
+        out = matched(*args, **kw)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "matched", watched, raising=False)
+    got = {r.doc_id: r.removed for r in line_dedup.duplicate_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert left == [2]
+    assert got == {i: [0] if i == 1 else [] for i in range(60)}
+
+
 @pytest.mark.parametrize("limit", [2, 32])
 def test_line_dedup(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(setjoin, "LIST", limit)
