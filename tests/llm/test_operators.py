@@ -285,6 +285,28 @@ def test_line_dedup_shuffles_sets_of_paired_lines_only(spark, monkeypatch, rows)
     assert got == {i: [0] if i == 1 else [] for i in range(60)}
 
 
+@pytest.mark.parametrize("limit,dealt", [(2, 4096), (32, 4096), (2, 1), (32, 1)])
+def test_line_dedup_gathers_lists_where_they_meet(spark, monkeypatch, limit, dealt):
+    """A short list is one row, a long one a row for each line, whether or not its token is dealt; equal lines count once."""
+    monkeypatch.setattr(setjoin, "LIST", limit)
+    monkeypatch.setattr(line_dedup, "DEALT", dealt)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    made = [(i, " ".join([*(f"w{j}" for j in range(12)), f"x{i % 3}"])) for i in range(6)]  # three lines, each twice, that post one token of theirs and a common one
+    lists = line_dedup._postings(line_dedup._occurrences(spark.createDataFrame(made, "doc_id long, text string"))).collect()
+    assert [r.f for r in lists] == ([3] if limit > 3 else [3, 3, 3])
+    assert len({m.id for r in lists for m in r.members}) == sum(len(r.members) for r in lists) == 3
+    assert {m.n for r in lists for m in r.members} == {9}
+
+
+def test_matched_leaves_given_keys_as_they_are(spark, monkeypatch):
+    """Keys that cannot be null are joined by the column itself, so a grouping by it needs no other exchange."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    df = spark.range(50).withColumn("v", F.col("id") * 2)
+    got = common.matched(df, [df["id"]], spark.range(0, 50, 5).withColumnRenamed("id", "end"), ["end"], 10).groupBy("id").agg(F.first("v").alias("v"))
+    assert "isnull(id" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(0, 50, 5)]
+
+
 @pytest.mark.parametrize("limit", [2, 32])
 def test_line_dedup(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(setjoin, "LIST", limit)
