@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import mapped
+
 RATE = 0.1  #: edits allowed per character of an item
 PASSAGE = 60  #: words; longer items are looked for as passages of this many, half overlapping, and as windows
 WINDOW, STRIDE = 40, 11  #: words; windows of a long item and the words between their starts
@@ -220,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.record_batch([ids.take(picked), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())], names=["doc_id", "item_id", "start", "end", "distance"])
 
-        one = docs.select("doc_id", "text").mapInArrow(scan, out)
+        one = mapped(docs.select("doc_id", "text"), scan, out)
         found = one if found is None else found.union(one)
     return found if found is not None else docs.sparkSession.createDataFrame([], out)
 
@@ -240,5 +242,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean = [not (t.as_py() and matcher.find(normal(t.as_py()))) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = mapped(docs, keep, docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import learnt, remainder
+from basalt.llm.common import learnt, mapped, remainder
 from basalt.llm.textkit import MARKS, blocks, located_words, shingle_hashes, text_buffer, word_hashes
 
 SAMPLE = 6000  #: labelled documents the model is fitted on, at most
@@ -249,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(s), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start: bigint, end: bigint, p: double>>"
-    return docs.select("doc_id", "text").mapInArrow(score, out)
+    return mapped(docs.select("doc_id", "text"), score, out)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -264,7 +264,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
                 s, _ = _score_block(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

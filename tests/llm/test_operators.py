@@ -601,6 +601,31 @@ def test_chain_is_trained_outside_the_driver(spark, monkeypatch):
     assert common.learnt(train, docs.limit(0), labels, "toxic", learn, toxicity.SAMPLE).prior == 0.0
 
 
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup", "decontamination"])
+def test_texts_reach_python_in_small_batches(spark, monkeypatch, stage):
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "id", F.repeat(F.lit("words "), 1700)).alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "an item that stands in no text")], "item_id long, text string")
+    real = type(docs).mapInArrow
+
+    def held(self, work, schema, *more):
+        def small(batches):
+            def looked_at():
+                for batch in batches:
+                    if batch.nbytes > 2 << 20:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return work(looked_at())
+
+        return real(self, small, schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", held)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = {"toxicity": lambda: toxicity.drop_toxic(docs, labels), "near_dedup": lambda: minhash.features(docs), "decontamination": lambda: decontaminate.drop_contaminated(docs, items)}[stage]()
+    assert out.count() == 2000
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(2)
     m = toxicity.ChainModel(np.zeros(0, np.uint32), np.zeros(0), bias=-0.3, trans=(0.0, -0.7, 0.4, 0.9), start=0.2)
